@@ -21,7 +21,7 @@ def binary_scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files as ``(filename, size, content)``; sizes can be filtered before bytes are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
+        F.try_element_at(F.split("path", "/"), F.lit(-1)).alias("filename"),
         F.col("length").alias("size"), "path", "content",
     )
 

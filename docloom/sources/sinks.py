@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed_values as V
 from docloom.functions import text as T
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def _id_text() -> Column:
