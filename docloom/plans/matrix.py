@@ -1,13 +1,79 @@
-"""End-to-end plans."""
+"""End-to-end plans: documents to matrix, and the line-typing path."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from docloom.operators import context, lines, segments
+from docloom.functions import text as T
+from docloom.operators import (
+    batching, context, hierarchy, lines, output, reconcile, rowgen, rules, segments, typed,
+)
+from docloom.plans.staging import write_stage
 
+_INFO = tuple(hierarchy.BLOCK_INFO.values())
 
-def document_blocks(documents: DataFrame) -> DataFrame:
+
+def document_blocks(documents: DataFrame, noise: list[str] | None = None) -> DataFrame:
     """``(doc_id, doc_order, filename, text)`` to described blocks; one exchange."""
     annotated = segments.annotate_documents(documents)
-    return context.classify_blocks(segments.build_blocks(lines.clean_text_lines(annotated)))
+    return context.classify_blocks(segments.build_blocks(lines.clean_text_lines(annotated, noise)))
+
+
+def prepared_blocks(documents: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """Blocks with rule orientation and batch numbers, written as a stage."""
+    blocks = write_stage(document_blocks(documents), "blocks")
+    oriented = rules.orient_blocks(blocks, rule_table)
+    return write_stage(batching.pack_batches(oriented), "oriented")
+
+
+def matrix(documents: DataFrame, rule_table: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Documents to the numbered, deduplicated matrix with row ids.
+
+    ``responses(doc_id, batch_no, attempt, response)`` holds what a model answered for
+    the residue blocks; without it those blocks take their deterministic fallback.
+    """
+    blocks = prepared_blocks(documents, rule_table)
+    rows = write_stage(batch_rows(blocks, responses), "rows")
+    return finish(rows)
+
+
+def batch_rows(blocks: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Rows of every block: deterministic, answered, or fallen back; block columns kept."""
+    info = hierarchy.block_info(blocks)
+    fallback = rowgen.block_to_rows(info, _INFO)
+    if responses is None:
+        return reconcile.order_and_prune(reconcile.fill_detected_item_inline(fallback))
+    residue = blocks.where(rowgen.needs_model(blocks))
+    plain = ["doc_id", "doc_order", *hierarchy.ROW_COLUMNS]
+    answers, _ = reconcile.parse_responses(responses)
+
+    def attempt(n: int) -> DataFrame:
+        mine = answers.where(F.col("attempt") == n)
+        asked = residue.select("doc_id", "doc_order", "batch_no", "block_no", F.col("text").alias("b_text"))
+        fixed = reconcile.repair_orders(mine, asked.select("doc_id", "batch_no", "block_no"))
+        known = fixed.join(asked.drop("batch_no"), ["doc_id", "block_no"])
+        return known.where(reconcile.grounded_flag(known)).select(*plain)
+
+    keys = ["doc_id", "block_no"]
+    model_part = fallback.join(residue.select(*keys), keys, "left_semi").select(*plain)
+    fixed_part = fallback.join(residue.select(*keys), keys, "left_anti").select(*plain)
+    merged = reconcile.fallback_union(fixed_part, attempt(1), attempt(2), model_part)
+    joined = hierarchy.with_block_info(merged, blocks)
+    return reconcile.order_and_prune(reconcile.fill_detected_item_inline(joined))
+
+
+def finish(rows: DataFrame) -> DataFrame:
+    """Number, normalise, dedupe and id the rows of a corpus."""
+    numbered = write_stage(hierarchy.number_documents(rows), "numbered")
+    tidy = output.normalize_rows(numbered)
+    return output.assign_row_ids(output.dedupe_keep_first(tidy))
+
+
+def typed_corpus(documents: DataFrame) -> DataFrame:
+    """The line-typing path: heading markup, document type, line classes."""
+    marked = documents.withColumn(
+        "text",
+        F.array_join(F.transform(T.split_lines(T.normalize_multiline(F.col("text"))), T.heading_markup), "\n"),
+    )
+    return typed.classify_documents(marked)

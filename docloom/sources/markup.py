@@ -10,7 +10,11 @@ from docloom.functions import text as T
 # applied in order; blocks end lines, cells end with a tab
 _STEPS = (
     (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<(script|style|nav|head|noscript)\b.*?</\1\s*>", " "),
+    (r"(?is)<script\b.*?</script\s*>", " "),
+    (r"(?is)<style\b.*?</style\s*>", " "),
+    (r"(?is)<nav\b.*?</nav\s*>", " "),
+    (r"(?is)<head\b.*?</head\s*>", " "),
+    (r"(?is)<noscript\b.*?</noscript\s*>", " "),
     (r"[\t\r\n]+", " "),
     (r"(?i)</(?:td|th)\s*>", "\t"),
     (r"(?i)<br\s*/?>", "\n"),
