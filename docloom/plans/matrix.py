@@ -65,9 +65,10 @@ def batch_rows(blocks: DataFrame, responses: DataFrame | None = None) -> DataFra
 
 def finish(rows: DataFrame) -> DataFrame:
     """Number, normalise, dedupe and id the rows of a corpus."""
-    numbered = write_stage(hierarchy.number_documents(rows), "numbered")
-    tidy = output.normalize_rows(numbered)
-    return output.assign_row_ids(output.dedupe_keep_first(tidy))
+    outlined = write_stage(hierarchy.outline_rows(rows), "outlined")
+    roots = hierarchy.cross_document_offset(hierarchy.root_stats(outlined))
+    numbered = hierarchy.apply_roots(outlined, roots.select("doc_id", F.col("root").alias("root_first"), "r"))
+    return output.assign_row_ids(output.dedupe_keep_first(output.normalize_rows(numbered)))
 
 
 def typed_corpus(documents: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def step_table_fold(cells: DataFrame) -> DataFrame:
     lines = shown.select("*", own.alias("own")).select(
         "*", F.last(leader, True).over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("_lead")
     )
-    glued = (F.col("kind") == "tail") & (F.col("_lead") == "step")
+    glued = F.coalesce((F.col("kind") == "tail") & (F.col("_lead") == "step"), F.lit(False))
     islands = lines.select(
         "*", glued.alias("_glued"), F.sum((~glued).cast("int")).over(rows).alias("_island")
     )
