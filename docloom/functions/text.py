@@ -29,6 +29,15 @@ _EDGE = cs(f"^{V.WS}+|{V.WS}+$")
 _RUN = cs(f"{V.WS}+")
 
 
+def let(col: Column, body) -> Column:
+    """``body(value)`` with ``col`` evaluated once.
+
+    Spark repeats an expression in every branch of a conditional that mentions it; a
+    lambda over a one-element array binds it to a variable instead.
+    """
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
@@ -153,16 +162,19 @@ def plain_key(value: str) -> str:
 
 def keyword_tags(text: Column, lexicon=V.KEYWORDS) -> Column:
     """Lexicon terms present in the text, lexicon order."""
-    key = match_key(text)
-    hits = [F.when(F.contains(key, F.lit(plain_key(term))), F.lit(term)) for term in lexicon]
-    return F.array_compact(F.array(*hits))
+
+    def tags(key: Column) -> Column:
+        hits = [F.when(F.contains(key, F.lit(plain_key(term))), F.lit(term)) for term in lexicon]
+        return F.array_compact(F.array(*hits))
+
+    return let(match_key(text), tags)
 
 
 def caps_ratio(col: Column) -> Column:
     """Upper-case letters / letters; null without letters."""
-    letters = F.length(F.regexp_replace(col, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(col, r"[^\p{Lu}]", ""))
-    return F.when(letters > 0, upper / letters)
+    letters = F.length(F.regexp_replace(col, r"[^\p{L}]+", ""))
+    upper = F.length(F.regexp_replace(col, r"[^\p{Lu}]+", ""))
+    return upper / F.nullif(letters, F.lit(0))
 
 
 def is_caps_item(text: Column) -> Column:
@@ -170,16 +182,18 @@ def is_caps_item(text: Column) -> Column:
 
 
 def ui_fragment(text: Column) -> Column:
-    key = match_key(text)
-    words = F.filter(F.split(key, _RUN), lambda w: w != "")
-    lone = F.size(F.filter(words, lambda w: F.length(w) == 1))
-    return (
-        (key == "")
-        | key.rlike(cs(r"^\d+(?:\s+\d+){0,3}$"))
-        | key.isin(*V.UI_LABELS)
-        | text.rlike(cs(f"^{V.WS}*\\.:"))
-        | ((F.size(words) >= 4) & (lone / F.size(words) >= 0.5))
-    )
+    def of_key(key: Column) -> Column:
+        words = F.filter(F.split(key, _RUN), lambda w: w != "")
+        lone = F.size(F.filter(words, lambda w: F.length(w) == 1))
+        return (
+            (key == "")
+            | key.rlike(cs(r"^\d+(?:\s+\d+){0,3}$"))
+            | key.isin(*V.UI_LABELS)
+            | text.rlike(cs(f"^{V.WS}*\\.:"))
+            | ((F.size(words) >= 4) & (lone / F.size(words) >= 0.5))
+        )
+
+    return let(match_key(text), of_key)
 
 
 def heading_markup(line: Column) -> Column:
@@ -192,8 +206,9 @@ def is_named_section(line: Column) -> Column:
 
 
 def is_structural_title(line: Column) -> Column:
-    tidy = normalize_ws(line)
-    return tidy.rlike(ci(V.NAMED_SECTION)) | tidy.rlike(cs(V.NUMBERED_TITLE))
+    return let(
+        normalize_ws(line), lambda x: x.rlike(ci(V.NAMED_SECTION)) | x.rlike(cs(V.NUMBERED_TITLE))
+    )
 
 
 def leaves_table(line: Column) -> Column:

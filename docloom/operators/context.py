@@ -103,11 +103,25 @@ def propagate_scope(blocks: DataFrame) -> DataFrame:
 
 def detect_category(text: Column) -> Column:
     """Ordered first-match category of a block by its own text."""
-    key, line = T.match_key(text), T.first_line(text)
-    bare = F.regexp_replace(key, T.cs(r"^\s*\d+(?:\.\d+)*\.?\s*(?:[-–—]\s*)?"), "")
+    return T.let(
+        F.struct(T.match_key(text).alias("key"), T.first_line(text).alias("line")),
+        lambda p: _category_of(text, p["key"], p["line"]),
+    )
+
+
+def _category_of(text: Column, key: Column, line: Column) -> Column:
     has_all = lambda *terms: reduce(and_, [F.contains(key, F.lit(t)) for t in terms])
     table = text.rlike(T.ci(V.TABLE_TITLE))
-    out = (
+
+    def named(bare: Column) -> Column:
+        (category, prefix), *rest = V.NAMED_CATEGORIES
+        out = F.when(bare.startswith(prefix), category)
+        for category, prefix in rest:
+            out = out.when(bare.startswith(prefix), category)
+        return out
+
+    bare = F.regexp_replace(key, T.cs(r"^\s*\d+(?:\.\d+)*\.?\s*(?:[-–—]\s*)?"), "")
+    own = (
         F.when(key.rlike(T.ci(V.DOCUMENT_METADATA)), "fragmento_interface")
         .when(line.rlike(T.ci(V.DOCUMENT_CODE)), "padrao_documento")
         .when(T.strip(line).rlike(T.ci(V.ANNEX_HEADING)), "anexo_documento")
@@ -119,18 +133,16 @@ def detect_category(text: Column) -> Column:
             "cabecalho_tabela",
         )
         .when(key.rlike(T.cs(V.FIGURE_DETAIL)), "titulo_tabela")
-        .when(table & has_all("INDICADOR DE DESEMPENHO"), "geral")
-        .when(table, "titulo_tabela")
+        .when(table, F.when(has_all("INDICADOR DE DESEMPENHO"), "geral").otherwise("titulo_tabela"))
         .when(T.is_named_section(line), "secao_principal")
     )
-    for category, prefix in V.NAMED_CATEGORIES:
-        out = out.when(bare.startswith(prefix), category)
-    return (
-        out.when(text.rlike(T.cs(r"^\s*\d+(?:\.\d+)+")), "subsecao_numerada")
+    late = (
+        F.when(text.rlike(T.cs(r"^\s*\d+(?:\.\d+)+")), "subsecao_numerada")
         .when(key.startswith("ATIVIDADE"), "atividade_tabela")
         .when(text.rlike(T.cs(V.SECTION)), "secao_principal")
         .otherwise("geral")
     )
+    return F.coalesce(own, T.let(bare, named), late)
 
 
 def first_occurrence_heading(blocks: DataFrame, category: str = "category") -> DataFrame:
@@ -151,14 +163,15 @@ def first_occurrence_heading(blocks: DataFrame, category: str = "category") -> D
 
 def explicit_actions(text: Column) -> Column:
     """Opens with an action verb, or holds two action cues once negations are gone."""
-    plain = F.regexp_replace(text, T.ci(V.NEGATED_MODAL), "")
-    key = T.match_key(plain)
-    return (
-        plain.rlike(T.ci(V.ACTION_START))
-        | F.contains(key, F.lit("DEVE-SE SEGUIR"))
-        | F.contains(key, F.lit("RECOMENDA-SE COLETAR"))
-        | (F.regexp_count(plain, F.lit(T.ci(V.ACTION_CUE))) >= 2)
-    )
+
+    def stated(plain: Column) -> Column:
+        return (
+            plain.rlike(T.ci(V.ACTION_START))
+            | (F.regexp_count(plain, F.lit(T.ci(V.ACTION_CUE))) >= 2)
+            | T.match_key(plain).rlike("DEVE-SE SEGUIR|RECOMENDA-SE COLETAR")
+        )
+
+    return T.let(F.regexp_replace(text, T.ci(V.NEGATED_MODAL), ""), stated)
 
 
 def has_action_cue(text: Column) -> Column:
@@ -173,11 +186,12 @@ def action_flags(blocks: DataFrame) -> DataFrame:
 
 def numbered_instruction(line: Column, children: Column, summary: Column) -> Column:
     """A numbered line that is a step to carry out rather than a heading."""
-    number, rest = T.numbered_item(line), T.numbered_content(line)
-    return (
-        (number != "") & ~children & ~line.rlike(T.ci(V.ANNEX_OPERATIONAL_HEADING))
-        & (rest != "") & (rest != F.upper(rest)) & ~summary
-        & ((T.item_depth(number) == 1) | rest.rlike(T.ci(V.IMPERATIVE_CUE)))
+    parts = F.struct(T.numbered_item(line).alias("number"), T.numbered_content(line).alias("rest"))
+    return T.let(
+        parts,
+        lambda p: (p["number"] != "") & ~children & ~summary & (p["rest"] != "")
+        & (p["rest"] != F.upper(p["rest"])) & ~line.rlike(T.ci(V.ANNEX_OPERATIONAL_HEADING))
+        & ((T.item_depth(p["number"]) == 1) | p["rest"].rlike(T.ci(V.IMPERATIVE_CUE))),
     )
 
 
@@ -298,60 +312,54 @@ def _refine(
     """Contextual overrides in order: (category, item).
 
     With ``section`` left out only the overrides that do not look at context are applied;
-    that form decides which blocks may become the section in force.
+    that form decides which blocks may become the section in force.  Each override binds
+    the category it refines, so the chain stays linear in size.
     """
     standalone, source = F.col("standalone"), F.col("item_source")
     known = section is not None
-    cue = (item != "") & ~F.col("_title_shape") & F.col("_cue")
-    action = F.col("_explicit") | cue
-    category = F.when(
-        action & category.isin(*_PROMOTED) & ~F.col("_op_heading"), F.lit("instrucao_operacional")
-    ).otherwise(category)
+    steps = []
+    action = F.col("_explicit") | ((item != "") & ~F.col("_title_shape") & F.col("_cue"))
+    promotes = action & ~F.col("_op_heading")
+    steps.append(lambda c: F.when(promotes & c.isin(*_PROMOTED), "instrucao_operacional").otherwise(c))
     remission = standalone & F.col("_remission")
     action = action & ~remission
-    category = (
-        F.when(remission, "geral")
-        .when(standalone & (category == "item_numerado_anexo"),
-              F.when(action, "instrucao_operacional").otherwise("subsecao_numerada"))
-        .otherwise(category)
-    )
-    category = F.when(
-        standalone & T.rstrip_chars(source, ".").isin("1", "2", "1-", "2-"), "subsecao_numerada"
-    ).otherwise(category)
+    acts = action
+    steps.append(
+        lambda c: F.when(remission, "geral")
+        .when(standalone & (c == "item_numerado_anexo"), F.when(acts, "instrucao_operacional").otherwise("subsecao_numerada"))
+        .otherwise(c)
+    )
+    top = standalone & T.rstrip_chars(source, ".").isin("1", "2", "1-", "2-")
+    steps.append(lambda c: F.when(top, "subsecao_numerada").otherwise(c))
     if known:
         depth = F.size(F.split(section, r"\."))
-        category = F.when(
-            standalone & (section == "1.1") & (source != "") & (T.item_depth(source) > 2) & ~action, "geral"
-        ).otherwise(category)
+        detail = standalone & (section == "1.1") & (source != "") & (T.item_depth(source) > 2) & ~acts
         opening = (
             standalone & (depth >= 3) & section.endswith(".1")
             & F.col("text").rlike(T.ci(r"^Antes de iniciar\b"))
         )
-        category = F.when(opening, "instrucao_operacional").otherwise(category)
+        steps.append(lambda c: F.when(opening, "instrucao_operacional").when(detail, "geral").otherwise(c))
         action = action | opening
     triggered = standalone & F.col("_conditional") & F.col("_imperative")
-    category = F.when(triggered, "instrucao_operacional").otherwise(category)
-    action = action | triggered
-    category = F.when(
-        F.col("flowchart") & category.isin("geral", "lista_informativa", "subsecao_numerada")
-        & ~action & ~F.col("_key").rlike("^(?:OBS|ORIENTAR|INFORMAR)"),
-        "fragmento_interface",
-    ).otherwise(category)
+    steps.append(lambda c: F.when(triggered, "instrucao_operacional").otherwise(c))
+    idle = F.col("flowchart") & ~(action | triggered) & ~F.col("_key").rlike("^(?:OBS|ORIENTAR|INFORMAR)")
+    steps.append(
+        lambda c: F.when(idle & c.isin("geral", "lista_informativa", "subsecao_numerada"), "fragmento_interface").otherwise(c)
+    )
     if known:
         critical = F.contains(title, F.lit("ITENS CRITICOS"))
         note = (
             standalone & (source == "") & critical & F.col("_conditional")
             & ((depth <= 2) | T.match_key(F.col("_content")).startswith("EM CASO DE MANUTENCAO"))
         )
-        item = F.when(note, "").otherwise(item)
-        category = F.when(note, "geral").otherwise(category)
         inherits = (
-            standalone & (last_item != "") & (item == "") & F.col("_conditional")
-            & F.col("_imperative") & ~critical
+            standalone & (last_item != "") & (item == "") & F.col("_conditional") & F.col("_imperative") & ~critical
         )
-        item = F.when(inherits, last_item).otherwise(item)
-        category = F.when(inherits, "instrucao_operacional").otherwise(category)
-    category = F.when(F.col("_negative"), "geral").otherwise(category)
+        item = F.when(note, "").when(inherits, last_item).otherwise(item)
+        steps.append(lambda c: F.when(note, "geral").when(inherits, "instrucao_operacional").otherwise(c))
+    steps.append(lambda c: F.when(F.col("_negative"), "geral").otherwise(c))
+    for refine in steps:
+        category = T.let(category, refine)
     return category, item
 
 

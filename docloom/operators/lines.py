@@ -70,15 +70,9 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 
 def noise_flag(line: Column, patterns: list[str] | None = None) -> Column:
-    key = T.match_key(line)
     prefixes = "|".join(V.APPROVAL_PREFIXES)
-    flag = (
-        line.isin("_", ".")
-        | (key == "INTERNA")
-        | line.rlike(T.cs(V.RULE_LINE))
-        | line.rlike(T.ci(V.NOISE_LINE))
-        | key.rlike(f"^(?:{prefixes})")
-    )
+    keyed = T.let(T.match_key(line), lambda key: (key == "INTERNA") | key.rlike(f"^(?:{prefixes})"))
+    flag = line.isin("_", ".") | line.rlike(T.cs(V.RULE_LINE)) | line.rlike(T.ci(V.NOISE_LINE)) | keyed
     if patterns:
         flag = flag | line.rlike("|".join(f"(?:{p})" for p in patterns))
     return flag

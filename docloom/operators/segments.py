@@ -23,18 +23,22 @@ def annotate_documents(documents: DataFrame) -> DataFrame:
 
 
 def detect_scope(text: Column) -> Column:
+    def by_key(line: Column, key: Column, letter: Column) -> Column:
+        table = F.regexp_extract(key, T.cs(r"^TABELA\s*(\d+)\b"), 1)
+        return (
+            F.when(letter != "", F.concat(F.lit("anexo_"), F.lower(letter)))
+            .when(key.startswith("ANEXO"), F.lit("anexo"))
+            .when(table.isin("2", "5"), F.concat(F.lit("tabela_"), table))
+            .when(key.rlike("^(?:TABELA|QUADRO)"), F.lit("tabelas_tecnicas"))
+            .when(text.rlike(T.cs(V.SECTION)), F.lit("documento_principal"))
+            .otherwise(F.lit("geral"))
+        )
+
     line = T.first_line(text)
-    key = T.match_key(line)
-    letter = F.regexp_extract(T.strip(line), T.ci(V.ANNEX_HEADING), 1)
-    table = F.regexp_extract(key, T.cs(r"^TABELA\s*(\d+)\b"), 1)
-    return (
-        F.when(letter != "", F.concat(F.lit("anexo_"), F.lower(letter)))
-        .when(key.startswith("ANEXO"), F.lit("anexo"))
-        .when(table.isin("2", "5"), F.concat(F.lit("tabela_"), table))
-        .when(key.rlike("^(?:TABELA|QUADRO)"), F.lit("tabelas_tecnicas"))
-        .when(text.rlike(T.cs(V.SECTION)), F.lit("documento_principal"))
-        .otherwise(F.lit("geral"))
+    parts = F.struct(
+        T.match_key(line).alias("key"), F.regexp_extract(T.strip(line), T.ci(V.ANNEX_HEADING), 1).alias("letter")
     )
+    return T.let(parts, lambda p: by_key(line, p["key"], p["letter"]))
 
 
 def is_procedure_marker(text: Column) -> Column:
@@ -54,8 +58,10 @@ def segment_blocks(lines: DataFrame, max_chars: int = V.BLOCK_CHARS) -> DataFram
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     standalone = F.col("standalone") if "standalone" in lines.columns else F.lit(False)
     flowchart = F.col("flowchart") if "flowchart" in lines.columns else F.lit(False)
-    scope = detect_scope(line)
-    table_event = F.when(scope.isin("tabela_2", "tabela_5"), scope).when(T.leaves_table(line), F.lit(""))
+    table_event = T.let(
+        detect_scope(line),
+        lambda s: F.when(s.isin("tabela_2", "tabela_5"), s).when(T.leaves_table(line), F.lit("")),
+    )
     table_title = line.rlike(T.ci(V.TABLE_TITLE))
     marker = is_procedure_marker(line)
     shaped = lines.select(

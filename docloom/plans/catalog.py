@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from docloom.plans import queries_text
+from docloom.plans import queries_blocks, queries_rows, queries_text
 from docloom.session import apply_settings
 
 FLAGSHIP = "category_rule_counts"
-_MODULES = (queries_text,)
+_MODULES = (queries_text, queries_rows, queries_blocks)
 
 
 def _with_settings(fn):
