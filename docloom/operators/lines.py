@@ -9,6 +9,16 @@ from docloom.functions import fixed_values as V
 from docloom.functions import text as T
 
 
+def by_document(frame: DataFrame) -> DataFrame:
+    """Hash-partition by document into exactly the configured number of partitions.
+
+    The work per byte is heavy (many patterns per line), so small partitions must not be
+    coalesced by size, which an explicit count prevents.
+    """
+    count = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(count, "doc_id")
+
+
 def split_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, numbered from 1 inside its document.
 
@@ -18,7 +28,7 @@ def split_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     keep = [c for c in documents.columns if c != text]
     return (
-        documents.repartition("doc_id")
+        by_document(documents)
         .select(*keep, F.posexplode(T.split_lines(F.col(text))).alias("pos", "line"))
         .withColumn("line_no", (F.col("pos") + 1).cast("int"))
         .drop("pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed_values as V
 from docloom.functions import text as T
+from docloom.operators.lines import by_document
 
 # ordered (label, pattern): the first match in the head of the text wins
 TYPE_RULES = (
@@ -36,7 +37,7 @@ def document_type(documents: DataFrame, rules=TYPE_RULES, default: str = V.DOC_U
 
 def markdown_lines(typed_documents: DataFrame, exchange: bool = True) -> DataFrame:
     """Non-empty tidy lines; ``line_no`` counts only these."""
-    source = typed_documents.repartition("doc_id") if exchange else typed_documents
+    source = by_document(typed_documents) if exchange else typed_documents
     tidy = source.withColumn(
         "_lines",
         F.filter(
