@@ -25,8 +25,9 @@ def cs(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
-_EDGE = cs(f"^{V.WS}+|{V.WS}+$")
 _RUN = cs(f"{V.WS}+")
+# single blanks need no replacement, so only longer runs and other whitespace match
+_LONG_RUN = f"[{V.WS_CHARS}]{{2,}}|[{V.WS_CHARS[1:]}]"
 
 
 def let(col: Column, body) -> Column:
@@ -43,22 +44,21 @@ def text_or_empty(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, _EDGE, "")
+    """Trim Unicode whitespace.  Looks at the ends only, unlike a pattern."""
+    return F.trim(col, F.lit(V.WS_CHARS))
 
 
 def strip_chars(col: Column, chars: str) -> Column:
-    cls = "[" + "".join("\\" + c if c in r"\]^-[" else c for c in chars) + "]+"
-    return F.regexp_replace(col, f"^{cls}|{cls}$", "")
+    return F.trim(col, F.lit(chars))
 
 
 def rstrip_chars(col: Column, chars: str) -> Column:
-    cls = "[" + "".join("\\" + c if c in r"\]^-[" else c for c in chars) + "]+"
-    return F.regexp_replace(col, f"{cls}$", "")
+    return F.rtrim(col, F.lit(chars))
 
 
 def squeeze(col: Column) -> Column:
     """Every whitespace run becomes one blank; edges trimmed."""
-    return F.trim(F.regexp_replace(col, _RUN, " "))
+    return F.trim(F.regexp_replace(col, _LONG_RUN, " "))
 
 
 def split_lines(col: Column) -> Column:
@@ -70,7 +70,7 @@ def first_line(col: Column) -> Column:
 
 
 def normalize_ws(col: Column) -> Column:
-    return strip(F.regexp_replace(F.translate(col, "\u00a0", " "), "[ \t]+", " "))
+    return strip(F.regexp_replace(F.replace(col, F.lit("\u00a0"), F.lit(" ")), "[ \t]{2,}|\t", " "))
 
 
 def normalize_multiline(col: Column) -> Column:
@@ -99,7 +99,8 @@ def _folding(form: str) -> tuple[str, str]:
 
 def _fold(col: Column, form: str) -> Column:
     source, target = _folding(form)
-    return F.regexp_replace(F.translate(col, source, target), r"\p{Mn}+", "")
+    folded = F.regexp_replace(F.translate(col, source, target), r"\p{Mn}+", "")
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
 
 
 def match_key(col: Column) -> Column:

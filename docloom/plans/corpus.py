@@ -19,7 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
+
+
+def spread(frame: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Use all cores on inputs of fewer files than cores.
+
+    A small table is one file with one row group, hence one task.  Inputs that already
+    have enough files are left alone: row-local work on them needs no exchange.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if len(frame.inputFiles()) >= cores else frame.repartition(cores, key)
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
