@@ -133,11 +133,19 @@ def boilerplate_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-def drop_boilerplate(lines: DataFrame, min_docs: int, salts: int = 32) -> DataFrame:
-    """Anti join against the boilerplate keys, salted so a hot line spreads over tasks."""
-    keys = boilerplate_keys(lines, min_docs).select("line_key")
-    salted_keys = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = lines.withColumn("line_key", T.match_key(F.col("line"))).withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(salts)).cast("int")
-    )
-    return salted.join(salted_keys, ["line_key", "_salt"], "left_anti").drop("line_key", "_salt")
+HOT_SHARE = 10_000
+
+
+def drop_boilerplate(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Lines that are not boilerplate.
+
+    A line owning more than one in ``HOT_SHARE`` lines would gather in one task.  There
+    are fewer than ``HOT_SHARE`` such keys whatever the corpus, so they are broadcast and
+    their lines leave first; the rest is an ordinary shuffled anti join.
+    """
+    keys = boilerplate_keys(lines, min_docs).select("line_key", "n_lines")
+    total = lines.select(F.count(F.lit(1)).alias("n")).scalar()
+    hot = keys.where(F.col("n_lines") * HOT_SHARE > total).select("line_key")
+    keyed = lines.withColumn("line_key", T.match_key(F.col("line")))
+    cooled = keyed.join(F.broadcast(hot), "line_key", "left_anti")
+    return cooled.join(keys.select("line_key"), "line_key", "left_anti").drop("line_key")
