@@ -36,12 +36,16 @@ def document_type(documents: DataFrame, rules=TYPE_RULES, default: str = V.DOC_U
 
 
 def markdown_lines(typed_documents: DataFrame, exchange: bool = True) -> DataFrame:
-    """Non-empty tidy lines; ``line_no`` counts only these."""
+    """Non-empty tidy lines without heading marks; ``line_no`` counts only these."""
     source = by_document(typed_documents) if exchange else typed_documents
     tidy = source.withColumn(
         "_lines",
         F.filter(
-            F.transform(T.split_lines(F.col("text")), T.normalize_ws), lambda x: x != ""
+            F.transform(
+                T.split_lines(F.col("text")),
+                lambda x: T.strip(F.regexp_replace(T.normalize_ws(x), "^## ", "")),
+            ),
+            lambda x: x != "",
         ),
     )
     keep = [c for c in typed_documents.columns if c != "text"]

@@ -16,6 +16,7 @@ from docloom.plans.corpus import (
     LINES_SQL, MANUAL_LINES_SQL, documents, key_sql, manual_documents, table,
 )
 from docloom.plans.queries_rows import ORACLES as ROW_ORACLES
+from docloom.plans.queries_text import _OUT, _SECTIONED_SQL
 from docloom.plans.staging import staging_dir, write_stage
 from docloom.sources import rulebook
 from docloom.streaming import status_stream
@@ -427,9 +428,16 @@ def matrix(spark, sf):
     return plan.matrix(manual_documents(spark, sf), rules)
 
 
-@query("typed_corpus")
+@query(
+    "typed_corpus",
+    f"""WITH {MANUAL_LINES_SQL},
+    typed_lines AS (
+      SELECT doc_id, 'PE' AS document_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS line_no, line, {key_sql('line')} AS k
+      FROM (SELECT doc_id, line_no, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM manual_lines) WHERE line <> ''),
+    {_SECTIONED_SQL} SELECT * FROM sectioned""",
+)
 def typed_corpus(spark, sf):
-    return plan.typed_corpus(manual_documents(spark, sf))
+    return plan.typed_corpus(manual_documents(spark, sf)).select(*_OUT)
 
 
 @query("live_status")
