@@ -23,13 +23,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread(frame: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Use all cores on inputs of fewer files than cores.
+    """Use all cores on inputs of fewer splits than cores.
 
-    A small table is one file with one row group, hence one task.  Inputs that already
-    have enough files are left alone: row-local work on them needs no exchange.
+    A small table is one file with one row group, hence one busy task.  Inputs that
+    already have enough splits are left alone: row-local work on them needs no exchange.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if len(frame.inputFiles()) >= cores else frame.repartition(cores, key)
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, key)
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
