@@ -29,7 +29,7 @@ def cut_document(
     ``step(state, descriptor)`` returns whether the row opens a group and the new state.
     The first row of a document always opens one.
     """
-    columns = frame.columns
+    columns = [c for c in frame.columns if c != key]
     entry = F.struct(
         F.col(order).alias("_o"),
         F.struct(*[c.alias(n) for n, c in descriptors.items()]).alias("_d"),
@@ -59,8 +59,9 @@ def cut_document(
             F.coalesce(F.get(F.col("_starts"), i + 1), F.size("_rows") + 1) - s,
         ),
     )
+    # the key column itself is passed on, so the partitioning on it stays known
     return (
-        starts.select(F.posexplode(groups).alias("_g", "_members"))
-        .select("_g", F.explode("_members").alias("_m"))
-        .select(*[F.col("_m._r")[c].alias(c) for c in columns], (F.col("_g") + 1).alias(out))
+        starts.select(key, F.posexplode(groups).alias("_g", "_members"))
+        .select(key, "_g", F.explode("_members").alias("_m"))
+        .select(key, *[F.col("_m._r")[c].alias(c) for c in columns], (F.col("_g") + 1).alias(out))
     )

@@ -620,8 +620,8 @@ def latest_status(spark, sf):
 )
 def expire_status(spark, sf):
     status = G.latest_status(status_events(spark, sf)).select("id", "updated_at")
-    now = status.agg(F.max("updated_at").alias("now"))
-    return G.expire_status(status.join(F.broadcast(now)), F.col("now"), "6 hours").select("id", "updated_at")
+    now = status.agg(F.max("updated_at").alias("now")).scalar()
+    return G.expire_status(status, now, "6 hours")
 
 
 @query(
