@@ -7,7 +7,7 @@ import importlib
 
 from docloom.session import apply_settings
 
-_MODULES = ("near_queries", "packing_queries", "quality_queries", "shard_queries")
+_MODULES = ("line_queries", "near_queries", "packing_queries", "quality_queries", "shard_queries")
 
 
 def _modules():
