@@ -271,8 +271,10 @@ def near_duplicates(
     usable = sketched.where("doc_id is not null and h1 is not null")
     groups = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = stage(
-        usable.join(groups, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["h1", "h2"])
-        .select("rep", "h1", "h2", "n_shingles", "bands"),
+        # keyed by the representative: a group of copies is no hot key
+        usable.withColumn("own", F.struct("h1", "h2"))
+        .join(groups.select("rep", F.struct("h1", "h2").alias("group")), F.col("doc_id") == F.col("rep"))
+        .where("own = group").dropDuplicates(["rep", "h1", "h2"]).select("rep", "h1", "h2", "n_shingles", "bands"),
         "minhash-reps",
     )
     members = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bk"))
