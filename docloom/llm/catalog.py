@@ -7,7 +7,9 @@ import importlib
 
 from docloom.session import apply_settings
 
-_MODULES = ("line_queries", "near_queries", "packing_queries", "quality_queries", "shard_queries")
+_MODULES = (
+    "line_queries", "near_queries", "packing_queries", "quality_queries", "shard_queries", "vector_queries",
+)
 
 
 def _modules():
