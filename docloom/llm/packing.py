@@ -34,26 +34,67 @@ CARRY = 4096
 END_ID = 1
 
 
+#: marks that may follow a word's letters; a run of them is one piece of its own to the tokenizer
+_TAIL = ".,;:!?%$#&*|"
+
+
 class _WordIds(dict):
-    """Word -> its ids as little-endian bytes; emptied when full."""
+    """Word -> its ids as little-endian bytes; emptied when full.
+
+    Most words are letters and a run of marks.  Those two are pieces the tokenizer never merges
+    across, so each distinct piece is tokenised once, many in one call: every piece's last token
+    bears the end-of-word suffix, which tells the pieces' ids apart.  Any other word is
+    tokenised by itself.
+    """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.pieces = Tokenizer.from_file(path), limit, {"": b""}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[number] = bool(suffix) and token.endswith(suffix)
 
     def learn(self, words: list[list[bytes]]) -> None:
-        missing = list(set().union(*words).difference(self))
+        missing = set().union(*words).difference(self)
         if len(self) + len(missing) > self.limit:
             self.clear()
-            missing = list(set().union(*words))
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            for word, encoded in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                self[word] = np.array(encoded.ids, "<u4").tobytes()
+            missing = set().union(*words)
+        if len(self.pieces) + 2 * len(missing) > self.limit:
+            self.pieces = {"": b""}
+        plain, odd = [], []
+        for word in missing:
+            text = word.decode("utf-8", "replace")
+            letters = text.rstrip(_TAIL)
+            if not letters or letters.isalpha():
+                plain.append((word, letters.lower() if letters.isascii() else letters, text[len(letters) :]))
+            else:
+                odd.append((word, text))
+        self._tokenise(sorted({x for _, *parts in plain for x in parts}.difference(self.pieces)))
+        for word, letters, tail in plain:
+            self[word] = self.pieces[letters] + self.pieces[tail]
+        for start in range(0, len(odd), 4096):
+            part = odd[start : start + 4096]
+            found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            for (word, _), one in zip(part, found, strict=True):
+                self[word] = np.array(one.ids, "<u4").tobytes()
+
+    def _tokenise(self, pieces: list[str]) -> None:
+        for start in range(0, len(pieces), 1000):
+            part = pieces[start : start + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
+                data, at = ids.tobytes(), 0
+                for piece, end in zip(part, (4 * ends).tolist(), strict=True):
+                    self.pieces[piece] = data[at:end]
+                    at = end
+            else:  # a vocabulary without that suffix on every last token
+                for piece, one in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.pieces[piece] = np.array(one.ids, "<u4").tobytes()
 
 
 @functools.cache
