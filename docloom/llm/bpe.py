@@ -34,7 +34,7 @@ SLICE_CHARS = 6_000_000
 SLICE_TOKENS = 1_000_000
 CACHED = 400_000
 #: The characters with the Unicode property White_Space.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]")
 _TWO_SPACES = re.compile(f"[{_SPACE}][{_SPACE}]")
 

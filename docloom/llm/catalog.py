@@ -9,7 +9,7 @@ from docloom.session import apply_settings
 
 _MODULES = (
     "line_queries", "near_queries", "packing_queries", "quality_queries", "shard_queries", "token_queries", "url_queries",
-    "vector_queries",
+    "vector_queries", "warc_queries",
 )
 
 
