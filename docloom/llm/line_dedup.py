@@ -68,40 +68,42 @@ def _counts(line: Column) -> Column:
 def _close(a: str, b: str, tau: int) -> str:
     """SQL: length and letter counts differ by at most ``tau`` (modulo their width)."""
     fields = [(0, 16)] + [(16 + 8 * k, 8) for k in range(len(_COUNTED))]
+    field = lambda c, at, width: f"(shiftrightunsigned({c}, {at}) & {(1 << width) - 1})"
     return " and ".join(
-        f"((shiftrightunsigned({a}, {at}) - shiftrightunsigned({b}, {at}) + {tau}) & {(1 << width) - 1}) <= {2 * tau}"
-        for at, width in fields
+        f"(({field(a, at, width)} - {field(b, at, width)} + {tau}) & {(1 << width) - 1}) <= {2 * tau}" for at, width in fields
     )
 
 
-def _cut(n: Column, i: int, tau: int) -> Column:
-    return F.floor(n * i / (tau + 1)).cast("int")
+def _place(n: Column, i: int, tau: int, shift: int = 0) -> Column:
+    """Segment ``i`` of a text of ``n`` characters, moved by ``shift``: number, start and size in one long."""
+    cut = lambda k: F.floor(n * k / (tau + 1)).cast("long")
+    return (F.lit(i).cast("long") * (1 << 60)) + (cut(i) + shift) * (1 << 30) + cut(i + 1) - cut(i)
 
 
-def _key(line: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), size, F.substring(line, start + 1, size))
+def index_places(n: Column, tau: int) -> Column:
+    """Where the segments of a text of ``n`` characters lie."""
+    return F.array(*[_place(n, i, tau) for i in range(tau + 1)])
 
 
-def index_keys(line: Column, n: Column, tau: int) -> Column:
-    """A key for each segment of the line itself."""
-    return F.array(*[
-        _key(line, i, _cut(n, i, tau), _cut(n, i + 1, tau) - _cut(n, i, tau)) for i in range(tau + 1)
-    ])
+def probe_places(n: Column, tau: int) -> Column:
+    """Where a surviving segment of a text of ``n - tau`` to ``n`` characters may lie in one of ``n``."""
+    return F.array_distinct(F.array(*[
+        _place(n - less, i, tau, shift)
+        for less in range(tau + 1)
+        for i in range(tau + 1)
+        for shift in range(-tau, tau + 1)
+        if abs(shift) <= i and abs(less - shift) <= tau - i
+    ]))
 
 
-def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """Keys of the substrings to look up among texts of ``n - tau`` to ``n`` characters."""
-    keys = []
-    for less in range(tau + 1):
-        other = n - less
-        for i in range(tau + 1):
-            start, size = _cut(other, i, tau), _cut(other, i + 1, tau) - _cut(other, i, tau)
-            keys += [
-                _key(line, i, start + shift, size)
-                for shift in range(-tau, tau + 1)
-                if abs(shift) <= i and abs(less - shift) <= tau - i
-            ]
-    return F.array(*keys)
+def keyed(texts: DataFrame, places: Column, *names: str) -> DataFrame:
+    """A row (key, h1, counts) for each place; the key is hashed after the rows are made, so one
+    small expression runs in a loop."""
+    key, h1, counts = names
+    rows = texts.select(F.col("h1").alias(h1), "line", _counts(F.col("line")).alias(counts), F.explode(places).alias("at"))
+    start, size = F.shiftright("at", 30).bitwiseAND(F.lit((1 << 30) - 1)), F.col("at").bitwiseAND(F.lit((1 << 30) - 1))
+    segment = F.substring("line", start.cast("int") + 1, size.cast("int"))
+    return rows.select(F.xxhash64(F.shiftright("at", 60), size, segment).alias(key), h1, counts)
 
 
 def within(a: str, b: str, tau: int) -> Column:
@@ -137,15 +139,9 @@ def within(a: str, b: str, tau: int) -> Column:
 def _candidates(texts: DataFrame, tau: int) -> DataFrame:
     """Pairs (a, b) of h1 that share a segment and agree on length and letter counts."""
     n = F.char_length("line")
-    own, asked = index_keys(F.col("line"), n, tau), probe_keys(F.col("line"), n, tau)
-    base = texts.select("h1", _counts(F.col("line")).alias("sig"), own.alias("own"), asked.alias("asked"))
-    index = base.select(F.explode(F.array_distinct("own")).alias("key"), "h1", "sig")
-    probes = base.select(F.explode(F.array_except("asked", "own")).alias("key"), F.col("h1").alias("h1b"), F.col("sig").alias("sigb"))
-    again = index.select("key", F.col("h1").alias("h1b"), F.col("sig").alias("sigb"))
-    near = _close("sig", "sigb", tau)
-    same = index.join(again, "key").where("h1 < h1b").where(near)
-    shifted = index.join(probes, "key").where("h1 <> h1b").where(near)
-    pairs = same.select("h1", "h1b").unionByName(shifted.select("h1", "h1b"))
+    index = keyed(texts, index_places(n, tau), "key", "h1", "sig")
+    probes = keyed(texts, probe_places(n, tau), "key", "h1b", "sigb")
+    pairs = index.join(probes, "key").where("h1 <> h1b").where(_close("sig", "sigb", tau))
     return pairs.select(F.least("h1", "h1b").alias("a"), F.greatest("h1", "h1b").alias("b")).distinct()
 
 
