@@ -13,9 +13,10 @@ are left alone: a few edits make another line of them.
    characters can be.  If segment ``i`` is the first one without an edit, at most ``i`` edits lie
    before it and at most ``tau - i`` after it, so only starts shifted that little count.  Keys
    are (segment number, segment length, segment); lengths that cut alike share a key.
-4. Rows carry the length and the counts of six letters.  An edit changes each by at most one, so
-   the join itself drops pairs that differ more: even a bucket of variants of one text emits
-   hardly more than its true links.
+4. Rows that share no key with another text leave by semi joins, which emit no pairs.  Only for the
+   texts left a letter signature is made: 64 parity bits, of which an edit flips at most two.  The
+   join that forms pairs demands that signatures differ in at most ``2 tau`` bits, so even a
+   bucket of variants of one text emits hardly more than its true links.
 5. Verification: Hyyro's bit-parallel recurrence on a band of ``2 tau + 1`` diagonals.
 """
 
@@ -30,7 +31,6 @@ TAU = 2
 MIN_CHARS = 24
 #: Up to this many candidate ids (16 bytes each) are broadcast to fetch their texts.
 BROADCAST_IDS = 1_000_000
-_COUNTED = "etnaio"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -56,21 +56,11 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return _digested(docs, min_chars).withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
 
 
-def _counts(line: Column) -> Column:
-    """Length (16 bits) and letter counts (8 bits each), all modulo their width."""
-    packed = F.char_length(line).cast("long").bitwiseAND(F.lit(0xFFFF))
-    for k, letter in enumerate(_COUNTED):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(0xFF)), 16 + 8 * k))
-    return packed
-
-
-def _close(a: str, b: str, tau: int) -> str:
-    """SQL: length and letter counts differ by at most ``tau`` (modulo their width)."""
-    fields = [(0, 16)] + [(16 + 8 * k, 8) for k in range(len(_COUNTED))]
-    field = lambda c, at, width: f"(shiftrightunsigned({c}, {at}) & {(1 << width) - 1})"
-    return " and ".join(
-        f"(({field(a, at, width)} - {field(b, at, width)} + {tau}) & {(1 << width) - 1}) <= {2 * tau}" for at, width in fields
+def signature(line: Column) -> Column:
+    """Parity of the number of characters with each code modulo 64, as one long."""
+    return F.aggregate(
+        F.split(line, ""), F.lit(0).cast("long"),
+        lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)),
     )
 
 
@@ -96,14 +86,13 @@ def probe_places(n: Column, tau: int) -> Column:
     ]))
 
 
-def keyed(texts: DataFrame, places: Column, *names: str) -> DataFrame:
-    """A row (key, h1, counts) for each place; the key is hashed after the rows are made, so one
+def keyed(texts: DataFrame, places: Column, name: str) -> DataFrame:
+    """A row (key, text's h1) for each place; the key is hashed after the rows are made, so one
     small expression runs in a loop."""
-    key, h1, counts = names
-    rows = texts.select(F.col("h1").alias(h1), "line", _counts(F.col("line")).alias(counts), F.explode(places).alias("at"))
+    rows = texts.select(F.col("h1").alias(name), "line", F.explode(places).alias("at"))
     start, size = F.shiftright("at", 30).bitwiseAND(F.lit((1 << 30) - 1)), F.col("at").bitwiseAND(F.lit((1 << 30) - 1))
     segment = F.substring("line", start.cast("int") + 1, size.cast("int"))
-    return rows.select(F.xxhash64(F.shiftright("at", 60), size, segment).alias(key), h1, counts)
+    return rows.select(F.xxhash64(F.shiftright("at", 60), size, segment).alias("key"), name)
 
 
 def within(a: str, b: str, tau: int) -> Column:
@@ -136,22 +125,33 @@ def within(a: str, b: str, tau: int) -> Column:
     """)
 
 
-def _candidates(texts: DataFrame, tau: int) -> DataFrame:
-    """Pairs (a, b) of h1 that share a segment and agree on length and letter counts."""
-    n = F.char_length("line")
-    index = keyed(texts, index_places(n, tau), "key", "h1", "sig")
-    probes = keyed(texts, probe_places(n, tau), "key", "h1b", "sigb")
-    pairs = index.join(probes, "key").where("h1 <> h1b").where(_close("sig", "sigb", tau))
-    return pairs.select(F.least("h1", "h1b").alias("a"), F.greatest("h1", "h1b").alias("b")).distinct()
-
-
 def linked_lines(texts: DataFrame, tau: int = TAU) -> DataFrame:
     """h1, h2, n_links, doc_id, line_no: of each linked text the earliest place among it and its links."""
-    pairs = stage(_candidates(texts, tau), "lines-candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    n = F.char_length("line")
+    index = keyed(texts, index_places(n, tau), "h1")
+    probes = keyed(texts, probe_places(n, tau), "h1b")
+    other = [index.key == probes.key, index.h1 != probes.h1b]
+    found = stage(
+        index.join(probes, other, "left_semi").select("key", "h1", F.lit(True).alias("indexed"))
+        .unionByName(probes.join(index, other, "left_semi").select("key", F.col("h1b").alias("h1"), F.lit(False).alias("indexed"))),
+        "lines-keys",
+    )
+    ids = stage(found.select("h1").distinct(), "lines-ids")
     # a checked size decides whether ids travel to the texts or both are exchanged
-    few = pairs.count() <= BROADCAST_IDS // 2
-    wanted = stage(texts.join(F.broadcast(ids) if few else ids, "h1", "left_semi"), "lines-wanted")
+    few = ids.count() <= BROADCAST_IDS
+    wanted = stage(
+        texts.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
+        .withColumns({"n": F.char_length("line"), "bits": signature(F.col("line"))}),
+        "lines-wanted",
+    )
+    signed = found.join(wanted.select("h1", "n", "bits"), "h1")
+    a = signed.where("indexed").select("key", F.col("h1").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    b = signed.where("not indexed").select("key", F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    near = f"a <> b and abs(na - nb) <= {tau} and bit_count(x ^ y) <= {2 * tau}"
+    pairs = stage(
+        a.join(b, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "lines-candidates",
+    )
     side = lambda x: wanted.select(*[F.col(c).alias(f"{c}_{x}") for c in ("h1", "h2", "doc_id", "line_no", "line")])
     verified = (
         pairs.join(side("a"), F.col("a") == F.col("h1_a")).join(side("b"), F.col("b") == F.col("h1_b"))
