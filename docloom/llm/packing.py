@@ -59,10 +59,11 @@ class _WordIds(dict):
             self.ends[number] = bool(suffix) and token.endswith(suffix)
 
     def learn(self, words: list[list[bytes]]) -> None:
-        missing = set().union(*words).difference(self)
+        # not set.difference: that would walk through all of this dict, as it is a subclass
+        missing = [w for w in set().union(*words) if w not in self]
         if len(self) + len(missing) > self.limit:
             self.clear()
-            missing = set().union(*words)
+            missing = list(set().union(*words))
         if len(self.pieces) + 2 * len(missing) > self.limit:
             self.pieces = {"": b""}
         plain, odd = [], []
