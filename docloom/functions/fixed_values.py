@@ -12,8 +12,6 @@ BLOCK_CHARS = 6_000
 LIST_CHARS = 3_000
 BATCH_CHARS = 12_000
 BATCH_BLOCKS = 8
-RULE_TEXT_CHARS = 12_000
-TYPE_HEAD_CHARS = 4_000
 MIN_TABLE_HEIGHT = 40
 TITLE_CHARS = 120
 ANNEX_TITLE_CHARS = 180

@@ -6,6 +6,7 @@ newline ends a line), so results do not depend on the JVM's regex defaults.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -85,21 +86,49 @@ def cell_text(col: Column) -> Column:
 
 
 @lru_cache(maxsize=None)
-def _folding(form: str) -> tuple[str, str]:
-    """Characters whose decomposition is one base character plus marks."""
-    source, target = [], []
-    for code in list(range(0xA0, 0x0530)) + list(range(0x1E00, 0x2200)) + list(range(0xFF00, 0xFF60)):
+def _folding(form: str) -> tuple[str, str, dict[str, str], str]:
+    """What each code point becomes without its marks under a normal form.
+
+    One-to-one results as two strings for ``translate``; all others (several characters, as for
+    ligatures and fractions) as a mapping, with the ranges its characters lie in.  Hangul
+    syllables only come apart into letters no key keeps, so they are left whole.
+    """
+    source, target, wide = [], [], {}
+    for code in range(0xA0, 0x110000):
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:
+            continue
         char = chr(code)
+        if unicodedata.category(char) == "Mn":
+            continue
         base = "".join(c for c in unicodedata.normalize(form, char) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != char:
+        if base == char:
+            continue
+        if len(base) == 1:
             source.append(char)
             target.append(base)
-    return "".join(source), "".join(target)
+        else:
+            wide[char] = base
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, wide)):
+        if runs and code - runs[-1][1] < 64:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(source), "".join(target), wide, "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
 
 
 def _fold(col: Column, form: str) -> Column:
-    source, target = _folding(form)
-    folded = F.regexp_replace(F.translate(col, source, target), r"\p{Mn}+", "")
+    """``col`` decomposed, without combining marks.
+
+    Plain ASCII is passed on; only texts with a character in the ranges of longer results are
+    taken apart for them.
+    """
+    source, target, wide, ranges = _folding(form)
+    mapping = F.from_json(F.lit(json.dumps(wide)), "map<string,string>")
+    parts = F.regexp_extract_all(col, F.lit(f"[{ranges}]|[^{ranges}]+"), F.lit(0))
+    opened = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(mapping, x), x)), "")
+    longer = F.when(col.rlike(f"[{ranges}]"), opened).otherwise(col)
+    folded = F.regexp_replace(F.translate(longer, source, target), r"\p{Mn}+", "")
     return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
 
 

@@ -10,13 +10,12 @@ from docloom.functions import text as T
 
 
 def by_document(frame: DataFrame) -> DataFrame:
-    """Hash-partition by document into exactly the configured number of partitions.
+    """Hash-partition by document; Spark sizes the partitions from what it has written.
 
-    The work per byte is heavy (many patterns per line), so small partitions must not be
-    coalesced by size, which an explicit count prevents.
+    The work per byte is heavy (many patterns per line): a low
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` serves such jobs.
     """
-    count = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(count, "doc_id")
+    return frame.repartition("doc_id")
 
 
 def split_lines(documents: DataFrame, text: str = "text") -> DataFrame:

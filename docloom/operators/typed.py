@@ -23,15 +23,14 @@ TYPED_COLUMNS = (
 
 
 def document_type(documents: DataFrame, rules=TYPE_RULES, default: str = V.DOC_UNKNOWN) -> DataFrame:
-    """First matching rule over the head of the text.
+    """First matching rule over the whole text.
 
     Headings already marked ``## `` and headings below the first line also count, so a
     document types the same before and after heading markup.
     """
-    head = F.substring("text", 1, V.TYPE_HEAD_CHARS)
     branch = F.when(F.lit(False), F.lit(""))
     for label, pattern in rules:
-        branch = branch.when(head.rlike(pattern), F.lit(label))
+        branch = branch.when(F.col("text").rlike(pattern), F.lit(label))
     return documents.withColumn("document_type", branch.otherwise(F.lit(default)))
 
 

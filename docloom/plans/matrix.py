@@ -31,11 +31,13 @@ def matrix(documents: DataFrame, rule_table: DataFrame, responses: DataFrame | N
     """Documents to the numbered, deduplicated matrix with row ids.
 
     ``responses(doc_id, batch_no, attempt, response)`` holds what a model answered for
-    the residue blocks; without it those blocks take their deterministic fallback.
+    the residue blocks; without it those blocks take their deterministic fallback.  Where
+    documents have a ``submission_id``, roots and row ids start anew in every submission;
+    otherwise all documents are one.
     """
     blocks = prepared_blocks(documents, rule_table)
     rows = write_stage(batch_rows(blocks, responses), "rows")
-    return finish(rows)
+    return finish(rows, documents.select("doc_id", "submission_id") if "submission_id" in documents.columns else None)
 
 
 def batch_rows(blocks: DataFrame, responses: DataFrame | None = None) -> DataFrame:
@@ -48,27 +50,39 @@ def batch_rows(blocks: DataFrame, responses: DataFrame | None = None) -> DataFra
     plain = ["doc_id", "doc_order", *hierarchy.ROW_COLUMNS]
     answers, _ = reconcile.parse_responses(responses)
 
-    def attempt(n: int) -> DataFrame:
+    asked = residue.select("doc_id", "doc_order", "batch_no", "block_no", F.col("text").alias("b_text"))
+
+    def attempt(n: int, request: DataFrame) -> DataFrame:
         mine = answers.where(F.col("attempt") == n)
-        asked = residue.select("doc_id", "doc_order", "batch_no", "block_no", F.col("text").alias("b_text"))
-        fixed = reconcile.repair_orders(mine, asked.select("doc_id", "batch_no", "block_no"))
-        known = fixed.join(asked.drop("batch_no"), ["doc_id", "block_no"])
+        fixed = reconcile.repair_orders(mine, request.select("doc_id", "batch_no", "block_no"))
+        known = fixed.join(request.drop("batch_no"), ["doc_id", "block_no"])
         return known.where(reconcile.grounded_flag(known)).select(*plain)
 
+    first = attempt(1, asked)
+    # the second request holds only what the first left open, so its positions count those
+    second = attempt(2, reconcile.uncovered_blocks(asked, first))
+
     keys = ["doc_id", "block_no"]
     model_part = fallback.join(residue.select(*keys), keys, "left_semi").select(*plain)
     fixed_part = fallback.join(residue.select(*keys), keys, "left_anti").select(*plain)
-    merged = reconcile.fallback_union(fixed_part, attempt(1), attempt(2), model_part)
+    merged = reconcile.fallback_union(fixed_part, first, second, model_part)
     joined = hierarchy.with_block_info(merged, blocks)
     return reconcile.order_and_prune(reconcile.fill_detected_item_inline(joined))
 
 
-def finish(rows: DataFrame) -> DataFrame:
-    """Number, normalise, dedupe and id the rows of a corpus."""
+def finish(rows: DataFrame, submissions: DataFrame | None = None) -> DataFrame:
+    """Number, normalise, dedupe and id the rows of a corpus, or of each submission in it."""
     outlined = write_stage(hierarchy.outline_rows(rows), "outlined")
-    roots = hierarchy.cross_document_offset(hierarchy.root_stats(outlined))
+    stats = hierarchy.root_stats(outlined)
+    if submissions is not None:
+        stats = stats.join(submissions, "doc_id")
+    scope = () if submissions is None else ("submission_id",)
+    roots = hierarchy.cross_document_offset(stats, scope)
     numbered = hierarchy.apply_roots(outlined, roots.select("doc_id", F.col("root").alias("root_first"), "r"))
-    return output.assign_row_ids(output.dedupe_keep_first(output.normalize_rows(numbered)))
+    unique = output.dedupe_keep_first(output.normalize_rows(numbered))
+    if submissions is not None:
+        unique = unique.join(submissions, "doc_id")
+    return output.assign_row_ids(unique, position=("doc_id", *output.POSITION), scope=scope)
 
 
 def typed_corpus(documents: DataFrame) -> DataFrame:

@@ -81,6 +81,56 @@ def assign_row_ids(spark, sf):
     )
 
 
+_SUBMITTED_SQL = """
+    WITH stats AS (
+      SELECT o_custkey AS submission_id, o_orderkey AS doc_id, o_orderkey % 5 AS doc_order, o_orderkey % 4 AS n,
+             o_orderkey % 3 * (o_orderkey % 50) AS r, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey % 1000 ELSE 0 END AS a,
+             o_orderkey % 2 AS x FROM orders)"""
+
+
+def submitted(spark, sf):
+    """Orders as documents of their customer's submission; order values repeat."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("submission_id"), k.alias("doc_id"), (k % 5).alias("doc_order"), (k % 4).alias("n"),
+        (k % 3 * (k % 50)).alias("r"), F.when(k % 97 == 0, k % 1000).otherwise(0).alias("a"), (k % 2).alias("x"),
+    )
+
+
+@query(
+    "submission_offset",
+    f"""{_SUBMITTED_SQL},
+    p AS (SELECT *, sum(greatest(n, x)) OVER w AS big_n, greatest(a, CASE WHEN n > 0 THEN r + n ELSE 0 END) AS c FROM stats
+          WINDOW w AS (PARTITION BY submission_id ORDER BY doc_order, doc_id ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT *, big_n + greatest(0, max(c - big_n) OVER (
+            PARTITION BY submission_id ORDER BY doc_order, doc_id ROWS UNBOUNDED PRECEDING)) AS peak FROM p)
+    SELECT submission_id, doc_id,
+           CAST(coalesce(lag(peak) OVER (PARTITION BY submission_id ORDER BY doc_order, doc_id), 0) + 1 AS BIGINT) AS root FROM m""",
+)
+def submission_offset(spark, sf):
+    return H.cross_document_offset(submitted(spark, sf), ("submission_id",)).select("submission_id", "doc_id", "root")
+
+
+@query(
+    "submission_row_ids",
+    f"""{_SUBMITTED_SQL},
+    rows AS (SELECT s.submission_id, s.doc_id, s.doc_order, l_linenumber AS row_no, l_returnflag = 'R' AS annex
+             FROM stats s JOIN lineitem ON doc_id = l_orderkey)
+    SELECT submission_id, doc_id, CAST(row_no AS BIGINT) AS row_no,
+           CAST(CASE WHEN NOT annex THEN count(*) FILTER (NOT annex) OVER (
+             PARTITION BY submission_id ORDER BY doc_order, doc_id, row_no ROWS UNBOUNDED PRECEDING) END AS BIGINT) AS row_id
+    FROM rows""",
+)
+def submission_row_ids(spark, sf):
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("row_no"), F.lit(1).alias("block_no"),
+        F.when(F.col("l_returnflag") == "R", V.T_ANNEX).otherwise(V.T_EXEC).alias("task_type"),
+    )
+    rows = submitted(spark, sf).select("submission_id", "doc_id", "doc_order").join(items, "doc_id")
+    done = O.assign_row_ids(rows, position=("doc_id", *O.POSITION), scope=("submission_id",))
+    return done.select("submission_id", "doc_id", "row_no", "row_id")
+
+
 _CELLS = ("item", "description", "task_type", "coalesce(CAST(row_id AS VARCHAR), '')", "hta", "task_text")
 _SHEET = ("hta", "item", "description", "task_type", "coalesce(CAST(row_id AS VARCHAR), '')", "task_text")
 
@@ -178,11 +228,15 @@ _USABLE = "rule_id <> 7 AND pattern <> ''"
     "rule_text_match",
     f"""WITH {LINES_SQL}, {_RULES_SQL}
     SELECT rule_id, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM lines
-    JOIN (SELECT * FROM rules WHERE {_USABLE}) ON regexp_matches(substr(line, 1, 12000), pattern) GROUP BY rule_id""",
+    JOIN (SELECT * FROM rules WHERE {_USABLE}) ON regexp_matches(line, pattern) GROUP BY rule_id""",
 )
 def rule_text_match(spark, sf):
-    rules = F.broadcast(rule_table(spark).select("rule_id", "pattern"))
-    hits = lines(spark, sf).join(rules, R.rule_text_match(F.col("line"), F.col("pattern")))
+    # the whole rule table travels as one value and is tried on each line in place
+    tried = rule_table(spark).agg(F.collect_list(F.struct("rule_id", "pattern")).alias("r")).scalar()
+    each = lines(spark, sf).withColumn("_rules", tried).select(
+        "doc_id", F.explode(F.filter("_rules", lambda r: R.rule_text_match(F.col("line"), r["pattern"]))).alias("r")
+    )
+    hits = each.select("doc_id", "r.rule_id")
     return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -190,7 +244,7 @@ _ORIENT_SQL = f"""{_BLOCKS_SQL},
     tried AS (
       SELECT b.doc_id, b.block_no, r.*,
              (r.category IN ('', 'geral', b.category) AND {_USABLE.replace('rule_id', 'r.rule_id').replace('pattern', 'r.pattern')}
-              AND regexp_matches(substr(b.text, 1, 12000), CASE WHEN r.rule_id = 7 THEN '$^' ELSE r.pattern END)) AS by_text,
+              AND regexp_matches(b.text, CASE WHEN r.rule_id = 7 THEN '$^' ELSE r.pattern END)) AS by_text,
              (r.category = b.category AND r.task_type <> 'Ignorar') AS by_kind
       FROM blocks b JOIN ranked r ON r.b_scope = b.scope AND r.b_category = b.category),
     lead_rule AS (

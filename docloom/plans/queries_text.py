@@ -479,7 +479,7 @@ _TYPED_SQL = f"""{MANUAL_LINES_SQL},
       FROM documents WHERE doc_id % 4 IN (0, 1)
       UNION ALL SELECT doc_id, line_no, line FROM manual_lines WHERE doc_id % 4 <> 3
       UNION ALL SELECT doc_id, line_no, line FROM lines WHERE doc_id % 4 = 3),
-    typed_lines AS (
+    typed_lines AS MATERIALIZED (
       SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Anexo A' WHEN 1 THEN 'Anexo B' WHEN 2 THEN 'PE' ELSE 'Desconhecido' END AS document_type,
              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS line_no, line, {key_sql('line')} AS k
       FROM (SELECT doc_id, line_no, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM headed) WHERE line <> '')"""
@@ -512,7 +512,7 @@ _SECTIONED_SQL = """
     ca AS (SELECT *, last_value(CASE WHEN heading THEN line END IGNORE NULLS) OVER w AS sec,
                   last_value(CASE WHEN heading THEN 'Informação' WHEN how THEN 'Execução' WHEN why THEN 'Informação' END IGNORE NULLS) OVER w AS mode
            FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
-    sectioned AS (
+    sectioned AS MATERIALIZED (
       SELECT doc_id, document_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS block_order,
              CASE WHEN heading THEN 'Título' ELSE coalesce(mode, 'Informação') END AS block_type, line AS content,
              coalesce(sec, '') AS section, '' AS hierarchy,
@@ -556,7 +556,7 @@ def classify_flat(spark, sf):
 
 
 _ALL_TYPED_SQL = f"""WITH {_TYPED_SQL}, {_SECTIONED_SQL}, {_OUTLINE_SQL}, {_FLAT_SQL},
-    everything AS (SELECT * FROM sectioned UNION ALL SELECT * FROM outlined UNION ALL SELECT * FROM flat)"""
+    everything AS MATERIALIZED (SELECT * FROM sectioned UNION ALL SELECT * FROM outlined UNION ALL SELECT * FROM flat)"""
 
 
 @query("classify_documents", f"{_ALL_TYPED_SQL} SELECT * FROM everything")

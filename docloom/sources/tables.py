@@ -112,7 +112,7 @@ def step_table_fold(cells: DataFrame) -> DataFrame:
         .when(wide & (F.col("a") == "") & (F.col("b") != ""), F.lit("tail"))
         .when(
             wide & F.col("a").rlike(T.cs(V.TABLE_ACTIVITY))
-            & (F.size(F.filter(F.slice("cells", 2, 10_000), lambda c: c != "")) > 0),
+            & (F.size(F.filter("cells", lambda c, i: (i > 0) & (c != ""))) > 0),
             F.lit("activity"),
         )
         .when(wide & F.col("key").startswith("COMO FAZER"), F.lit("how"))

@@ -38,7 +38,7 @@ def closed_sessions(events: DataFrame, ttl: str = "1 hour", delay: str = "10 min
         .groupBy("id", F.session_window("event_ts", ttl).alias("session"))
         .agg(
             F.count(F.lit(1)).alias("n_events"),
-            F.max_by(F.struct("kind", "stage"), "event_ts").alias("last"),
+            F.max(F.struct("event_ts", "kind", "stage")).alias("last"),  # ties by kind and stage
             F.max("event_ts").alias("updated_at"),
         )
         .select("id", "session.start", "session.end", "n_events", "last.kind", "last.stage", "updated_at")
