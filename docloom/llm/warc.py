@@ -8,11 +8,10 @@ names from that list, so what a lost attempt leaves behind is never read.
 
 Reading.  A file is cut into byte ranges, and each range is a task's row.  A task looks for the
 gzip magic from its range's start, tries each place by decoding a few bytes of the member, which
-must begin with a WARC version line, and follows the chain of members from there.  It owns the
-records that start inside its range and reads on past the end to finish the last.  A place inside
-another member (a payload may itself hold archives) cannot pass for long: its chain breaks where
-that member goes on, and the records of a broken chain are given up.  What is then left is judged
-by offsets: a record that starts before an earlier one of its file ends is no record.
+must begin with a WARC version line, and then the whole member, whose checksum must hold.  It owns
+the records that start inside its range and reads on past the end to finish the last.  A payload
+may itself hold archives, and a range may begin inside it; such finds are told by their offsets:
+what starts before an earlier record of its file ends is part of that record (``owned``).
 
 Files are opened through ``pyarrow.fs`` by URI, so the folder may be any store it knows.
 """
@@ -178,25 +177,12 @@ def records_in(source, size: int, start: int, end: int) -> list[tuple[int, int,
     view, out = _Window(source, size, start), []
     at = _next_magic(view, start, end)
     while at < end:
-        if not _starts_record(view, at):
+        found = _member(view, at) if _starts_record(view, at) else None
+        if found is None:  # no record, or a damaged one: look on behind its first byte
             at = _next_magic(view, at + 1, end)
-            continue
-        chain, here, whole = [], at, True
-        while here < end:
-            found = _member(view, here) if _starts_record(view, here) else None
-            if found is None:
-                whole = False
-                break
-            chain.append((here, found[1], found[0]))
-            here = found[1]
-        if whole and (here >= size or _starts_record(view, here)):
-            return out + chain
-        # broken: from the file's start its members are real up to the damage, elsewhere it may lie inside another
-        if at == 0 or (out and out[-1][1] == at):
-            out += chain
-            at = _next_magic(view, max(here, at + 1), end)
         else:
-            at = _next_magic(view, at + 1, end)
+            out.append((at, found[1], found[0]))
+            at = _next_magic(view, found[1], end)
     return out
 
 

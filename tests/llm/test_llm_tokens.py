@@ -98,7 +98,8 @@ def test_tree_of_many_groups(docs, monkeypatch):
     frame = docs(rows).repartition(23, "doc_id")
     found = pack(frame, WORDS, capacity=100).collect()
     used = check_places(found, 100)
-    assert len(found) == 300 and used <= 1.03 * -(-sum(r.length for r in found) // 100) + 1
+    # groups of some 13 pieces: bins merge whole, so a little room stays
+    assert len(found) == 300 and used <= 1.1 * -(-sum(r.length for r in found) // 100)
     # only bins over half full: nothing can be merged, nothing is lost
     big = pack(docs([(k, "a " * 60) for k in range(40)]).repartition(9, "doc_id"), WORDS, capacity=100).collect()
     assert check_places(big, 100) == 40
