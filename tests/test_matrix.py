@@ -3,7 +3,7 @@
 from docloom.plans import matrix
 from docloom.sources import rulebook
 
-TEXT = "2.3 - Controle operacional\nAtividade de inspeção do duto principal.\n2.4 - Coleta\nRecomenda-se coletar uma amostra. O supervisor deverá avaliar o retorno."
+TEXT = "2.3 - Horta\nAtividade de rega dos vasos pequenos.\n2.4 - Colheita\nRecomenda-se aguardar a manhã. A jardineira deverá medir as folhas."
 
 
 def response(text):
@@ -14,7 +14,7 @@ def test_matrix_with_responses(spark):
     documents = spark.createDataFrame(
         [(d, d, f"doc{d}.pdf", TEXT) for d in (1, 2, 3)], "doc_id long, doc_order long, filename string, text string")
     responses = spark.createDataFrame(
-        [(1, 1, 1, response("Inspeção do duto principal")), (2, 1, 1, response("Contrato CSV da Matriz"))],
+        [(1, 1, 1, response("Rega dos vasos pequenos")), (2, 1, 1, response("Lista de preços da feira"))],
         "doc_id long, batch_no int, attempt int, response string")
     rules = rulebook.usable_rules(rulebook.load_rules(spark, rulebook.seed_rules(spark)))
     rows = matrix.matrix(documents, rules, responses).orderBy("doc_order", "block_no", "row_no").collect()
@@ -23,7 +23,34 @@ def test_matrix_with_responses(spark):
     assert [x.hta for x in rows if x.task_type == "Execução"] == ["1.1.", "1.2.", "2.1.", "2.2.", "3.1.", "3.2."]
     answered = {d: next(x for x in rows if x.doc_id == d and x.block_no == 2) for d in (1, 2, 3)}
     # a local position is mapped to its block, an ungrounded answer gives way to the fallback
-    assert answered[1].description == "Inspeção do duto principal"
+    assert answered[1].description == "Rega dos vasos pequenos"
     assert answered[1].task_type == "Título/Subtítulo"
     for d in (2, 3):
-        assert answered[d].description == "Atividade de inspeção do duto principal."
+        assert answered[d].description == "Atividade de rega dos vasos pequenos."
+
+
+TWO = "2.3 - Horta\nAtividade de rega dos vasos pequenos.\n2.5 - Roseiral\nAtividade de poda das roseiras antigas."
+
+
+def test_retry_counts_the_missing_blocks(spark):
+    documents = spark.createDataFrame([(1, 1, "doc.pdf", TWO)], "doc_id long, doc_order long, filename string, text string")
+    rules = rulebook.usable_rules(rulebook.load_rules(spark, rulebook.seed_rules(spark)))
+    first = '{"linhas":[{"ordemBloco":2,"descricao":"Rega dos vasos pequenos","tipoTarefa":"Informação"}]}'
+    # position 1 of the second request is the block the first left open
+    second = '{"linhas":[{"ordemBloco":1,"descricao":"Poda das roseiras antigas","tipoTarefa":"Informação"}]}'
+    responses = spark.createDataFrame([(1, 1, 1, first), (1, 1, 2, second)], "doc_id long, batch_no int, attempt int, response string")
+    rows = {x.block_no: x.description for x in matrix.matrix(documents, rules, responses).collect()}
+    assert (rows[2], rows[4]) == ("Rega dos vasos pequenos", "Poda das roseiras antigas")
+
+
+def test_submissions_start_anew(spark):
+    documents = spark.createDataFrame(
+        [(d, 1, f"doc{d}.pdf", TEXT, f"s{d % 2}") for d in (1, 2, 3)],
+        "doc_id long, doc_order long, filename string, text string, submission_id string")
+    rules = rulebook.usable_rules(rulebook.load_rules(spark, rulebook.seed_rules(spark)))
+    rows = matrix.matrix(documents, rules).orderBy("submission_id", "doc_id", "block_no", "row_no").collect()
+    for name in ("s0", "s1"):
+        own = [x for x in rows if x.submission_id == name]
+        assert [x.row_id for x in own] == list(range(1, len(own) + 1))
+        assert next(x.hta for x in own if x.task_type == "Execução") == "1.1."
+    assert [x.hta for x in rows if x.doc_id == 3 and x.task_type == "Execução"] == ["2.1.", "2.2."]
