@@ -32,30 +32,35 @@ from pyspark.sql import functions as F
 LONG = 256
 SLICE_CHARS = 6_000_000
 SLICE_TOKENS = 1_000_000
+#: Parts of texts and pieces a worker remembers; either is emptied when full.
 CACHED = 400_000
+MERGED = 700_000
 #: The characters with the Unicode property White_Space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]")
 _TWO_SPACES = re.compile(f"[{_SPACE}][{_SPACE}]")
 
+# a row is one token of a word: where it begins and ends, and its id; places stay under 1024
 _MERGE = """
-WITH RECURSIVE live(w, p, id, done) AS (
-  SELECT w, p, id, false FROM pieces
+WITH RECURSIVE live(w, p, q, id, done) AS (
+  SELECT w, p, q, id, false FROM pieces
   UNION ALL (
-    WITH pairs AS (
-      SELECT w, p, id, lead(id) OVER left_to_right AS following, lag(p) OVER left_to_right AS before
-      FROM live WHERE NOT done WINDOW left_to_right AS (PARTITION BY w ORDER BY p)
-    ),
-    -- the lowest rank, then the leftmost place
+    WITH tokens AS (SELECT w, p, q, id FROM live WHERE NOT done),
+    -- the lowest rank, then the leftmost place, packed with where the pair is cut and ends
     chosen AS (
-      SELECT pairs.w, min(merges.merged * 4294967296 + pairs.p) AS code
-      FROM pairs JOIN merges ON merges.pair = CAST(pairs.id AS BIGINT) * 4294967296 + pairs.following
-      GROUP BY pairs.w
+      SELECT a.w, min(CAST(merged AS BIGINT) * 1073741824 + a.p * 1048576 + a.q * 1024 + b.q) AS code
+      FROM tokens a JOIN tokens b ON a.w = b.w AND a.q = b.p JOIN merges ON pair = CAST(a.id AS UINTEGER) * 65536 + b.id
+      GROUP BY a.w
+    ),
+    contraction AS (
+      SELECT w, (code >> 20) & 1023 AS first, (code >> 10) & 1023 AS cut, CAST(code & 1023 AS INTEGER) AS last,
+             CAST(code >> 30 AS INTEGER) AS merged
+      FROM chosen
     )
-    SELECT pairs.w, pairs.p, CASE WHEN pairs.p = code % 4294967296 THEN CAST(code // 4294967296 AS INTEGER) ELSE pairs.id END,
-           code IS NULL
-    FROM pairs LEFT JOIN chosen ON pairs.w = chosen.w
-    WHERE code IS NULL OR pairs.before IS DISTINCT FROM code % 4294967296
+    SELECT t.w, t.p, CASE WHEN t.p = c.first THEN c.last ELSE t.q END, CASE WHEN t.p = c.first THEN c.merged ELSE t.id END,
+           c.w IS NULL
+    FROM tokens t LEFT JOIN contraction c ON t.w = c.w
+    WHERE c.w IS NULL OR t.p <> c.cut
   )
 )
 SELECT w, list(id ORDER BY p) AS ids FROM live WHERE done GROUP BY w ORDER BY w
@@ -80,7 +85,10 @@ class Codec:
 
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        if max(self.ranks.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are packed into 32 bits")
         self.chunks: dict[str, bytes] = {}
+        self.merged: dict[bytes, bytes] = {}
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
         pairs, merged = [], []
@@ -88,9 +96,9 @@ class Codec:
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs.append(left << 32 | right)
+                    pairs.append(left << 16 | right)
                     merged.append(rank)
-        self._load("merges", {"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())})
+        self._load("merges", {"pair": pa.array(pairs, pa.uint32()), "merged": pa.array(merged, pa.int32())})
         self._load("vocabulary", {
             "id": pa.array(list(self.ranks.values()), pa.int32()),
             "latin": pa.array([t.decode("latin-1") for t in self.ranks]),
@@ -114,10 +122,10 @@ class Codec:
             return []
         sizes = np.array([len(w) for w in words])
         text = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(sizes) - sizes
+        places = (np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         found = self._query(_MERGE, "pieces", {
             "w": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)),
-            "p": pa.array((np.arange(len(text)) - np.repeat(starts, sizes)).astype(np.int64)),
+            "p": pa.array(places), "q": pa.array(places + 1),
             "id": pa.array(self.bytes[text]),
         }).column("ids").combine_chunks()
         data = found.flatten().to_numpy().astype("<i4").tobytes()
@@ -159,19 +167,20 @@ class Codec:
             self.chunks.clear()
             missing = chunks
         split = [(c, [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)]) for c in missing]
-        ids = {}
         words = []
-        for piece in {p for _, pieces in split for p in pieces}:
+        for piece in {p for _, pieces in split for p in pieces}.difference(self.merged):
             rank = self.ranks.get(piece)
             if rank is not None:
-                ids[piece] = rank.to_bytes(4, "little")
+                self.merged[piece] = rank.to_bytes(4, "little")
             elif len(piece) > LONG:
-                ids[piece] = self.merge_long(piece)
+                self.merged[piece] = self.merge_long(piece)
             else:
                 words.append(piece)
-        ids.update(zip(words, self.merge_words(words), strict=True))
+        self.merged.update(zip(words, self.merge_words(words), strict=True))
         for chunk, pieces in split:
-            self.chunks[chunk] = b"".join([ids[p] for p in pieces])
+            self.chunks[chunk] = b"".join([self.merged[p] for p in pieces])
+        if len(self.merged) > MERGED:
+            self.merged.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.  Where no two white-space characters meet, every match of the pattern
