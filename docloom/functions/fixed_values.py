@@ -205,7 +205,7 @@ NEGATED_MODAL = r"\bn[aã]o\s+dev(?:e|em|er[aá]|er[aã]o)\b"
 PAGE_MARK = r"(?:INTERNA\s+)?página\s+\d+\s+de\s+\d+"
 RULE_LINE = r"^[_\-]{3,}$"
 NOISE_LINE = (
-    r"^(?:PROPRIEDADE\s+DA\s+PETROBRAS\s+PAGE\s+\d+\s+DE\s+NUMPAGES(?:\s+\d+)?"
+    r"^(?:PROPRIEDADE\s+D[AEO]\s+[^\s\d]+\s+PAGE\s+\d+\s+DE\s+NUMPAGES(?:\s+\d+)?"
     r"|LIST\s+\d+\s+\d+\s+OF\s+\d+|SHAPE\s+\\\*\s+MERGEFORMAT"
     r"|TTONT-KM3(?:\s*\([^)]*\))?\s*[0-9,\.]*|EMED-\d+\b.*|#?\s*INTERNA(?:\s*\\.*)?$)$"
 )

@@ -132,19 +132,15 @@ def boilerplate_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-HOT_SHARE = 10_000
-
-
 def drop_boilerplate(lines: DataFrame, min_docs: int) -> DataFrame:
     """Lines that are not boilerplate.
 
-    A line owning more than one in ``HOT_SHARE`` lines would gather in one task.  There
-    are fewer than ``HOT_SHARE`` such keys whatever the corpus, so they are broadcast and
-    their lines leave first; the rest is an ordinary shuffled anti join.
+    One anti join on the line key.  Blank lines have no key to look up and join under one of their
+    own, so they gather nowhere; a repeated line's partition is an ordinary skewed one, which
+    Spark splits.
     """
-    keys = boilerplate_keys(lines, min_docs).select("line_key", "n_lines")
-    total = lines.select(F.count(F.lit(1)).alias("n")).scalar()
-    hot = keys.where(F.col("n_lines") * HOT_SHARE > total).select("line_key")
-    keyed = lines.withColumn("line_key", T.match_key(F.col("line")))
-    cooled = keyed.join(F.broadcast(hot), "line_key", "left_anti")
-    return cooled.join(keys.select("line_key"), "line_key", "left_anti").drop("line_key")
+    keys = boilerplate_keys(lines, min_docs).select("line_key")
+    key = T.match_key(F.col("line"))
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in lines.columns]).cast("string"))
+    keyed = lines.withColumn("line_key", T.let(key, lambda k: F.when(k != "", k).otherwise(own)))
+    return keyed.join(keys, "line_key", "left_anti").drop("line_key")

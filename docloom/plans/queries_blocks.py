@@ -410,7 +410,7 @@ def annex_numbering(spark, sf):
     opened = manual_documents(spark, sf).withColumn("text", F.concat(F.lit("ANEXO B\n"), F.col("text")))
     blocks = write_stage(plan.document_blocks(opened), "annex-blocks")
     rows = write_stage(X.block_to_rows(H.block_info(blocks), tuple(H.BLOCK_INFO.values())), "annex-rows")
-    return H.number_documents(rows, 1).where("hta <> ''").select("doc_id", "block_no", "row_no", "task_type", "item", "hta")
+    return H.number_documents(rows, 1).select("doc_id", "block_no", "row_no", "task_type", "item", "hta")
 
 
 @query("standalone_annex_numbering")
@@ -418,7 +418,7 @@ def standalone_annex_numbering(spark, sf):
     named = annexes(spark, sf).select("doc_id", "doc_order", "filename", "text")
     blocks = write_stage(plan.document_blocks(named), "file-blocks")
     rows = write_stage(X.block_to_rows(H.block_info(blocks), tuple(H.BLOCK_INFO.values())), "file-rows")
-    return H.number_documents(rows, 1).where("hta <> ''").select("doc_id", "block_no", "row_no", "task_type", "item", "hta")
+    return H.number_documents(rows, 1).select("doc_id", "block_no", "row_no", "task_type", "item", "hta")
 
 
 @query("matrix")

@@ -458,7 +458,7 @@ _STEMS = """list_distinct(list_transform(list_filter({0}, lambda w: length(w) >=
       SELECT d.doc_id, b.item_id AS block_no,
              regexp_extract_all(lower(strip_accents(b.text)), '[a-z0-9]+') AS own,
              regexp_extract_all(lower(strip_accents(d.text)), '[a-z0-9]+') AS src
-      FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+      FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)),
     s AS (SELECT *, {_STEMS.format('own')} AS a, {_STEMS.format('src')} AS b FROM p)
     SELECT doc_id, block_no FROM s
     WHERE len(own) > 0 AND len(src) > 0 AND (contains(array_to_string(src, ' '), array_to_string(own, ' '))
@@ -466,7 +466,8 @@ _STEMS = """list_distinct(list_transform(list_filter({0}, lambda w: length(w) >=
 )
 def grounded_rows(spark, sf):
     """Benchmark passages offered as rows for documents: kept where the text supports them."""
-    blocks = documents(spark, sf).select("doc_id", (F.col("doc_id") % 40).alias("block_no"), "text")
+    items = table(spark, sf, "benchmark").agg(F.max("item_id") + 1).scalar()
+    blocks = documents(spark, sf).select("doc_id", (F.col("doc_id") % items).alias("block_no"), "text")
     passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("block_no"), F.col("text").alias("description"))
     rows = blocks.select("doc_id", "block_no").join(passages, "block_no").select(
         "doc_id", "block_no", "description", F.lit(V.T_INFO).alias("task_type"), F.lit("").alias("task_text")
@@ -476,11 +477,11 @@ def grounded_rows(spark, sf):
 
 @query(
     "uncovered_blocks",
-    "SELECT c_custkey AS block_no FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)",
+    "SELECT c_custkey AS block_no FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey + o_orderkey % 3 * 1000000 = c_custkey)",
 )
 def uncovered_blocks(spark, sf):
     blocks = table(spark, sf, "customer").select(F.col("c_custkey").alias("block_no"))
-    rows = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("block_no"))
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") + F.col("o_orderkey") % 3 * 1_000_000).alias("block_no"))
     return M.uncovered_blocks(blocks, rows, ["block_no"])
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -24,6 +27,7 @@ def staging_dir(spark: SparkSession) -> str:
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
     return _LOCAL[key]
 
 
@@ -35,4 +39,12 @@ def write_stage(frame: DataFrame, name: str) -> DataFrame:
     """
     path = f"{staging_dir(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _WRITTEN.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete the stages written so far; for the end of a job, when all results are written."""
+    for path in (_WRITTEN.pop() for _ in range(len(_WRITTEN))):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
