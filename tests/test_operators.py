@@ -303,3 +303,17 @@ def test_folding_is_complete(spark):
     for r in frame.select("x", T.token_key(F.col("x")).alias("t"), T.match_key(F.col("x")).alias("m")).collect():
         assert r.t == " ".join(re.findall("[a-z0-9]+", plain("NFKD", r.x).lower()))
         assert r.m == plain("NFD", r.x).upper()
+
+
+def test_annex_numbers_that_meet():
+    import pandas as pd
+
+    def numbered(*rows):
+        return hierarchy.relative_numbers(pd.DataFrame(rows, columns=["group", "prefix", "suffix"])).tolist()
+
+    # counts go on from the greatest lead written so far
+    assert numbered(("a", "1", ""), ("a", "1", "5"), ("a", "1", ""), ("a", "1", "5.2")) == ["1.1.", "1.5.", "1.6.", "1.5.2."]
+    # a written number is kept once; one that was counted before is counted on
+    assert numbered(("a", "1", "2"), ("a", "1", "2"), ("a", "1", "3"), ("a", "1", "x")) == ["1.2.", "1.3.", "1.4.", "1.x."]
+    # groups count apart but share the numbers of their prefix
+    assert numbered(("a", "1", ""), ("b", "1", "1"), ("b", "1", "")) == ["1.1.", "1.2.", "1.3."]
