@@ -37,7 +37,6 @@ CACHED = 400_000
 MERGED = 700_000
 #: The characters with the Unicode property White_Space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]")
 _TWO_SPACES = re.compile(f"[{_SPACE}][{_SPACE}]")
 
 # a row is one token of a word: where it begins and ends, and its id; places stay under 1024
@@ -71,13 +70,19 @@ SELECT d, string_agg(latin, '' ORDER BY p) AS text FROM tokens JOIN vocabulary U
 """
 
 
+def _at_spaces(text: str) -> tuple[list[str], list[str]]:
+    """What precedes the first space, and what follows each."""
+    parts = text.split(" ")
+    return parts[:1], parts[1:]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 class Codec:
-    """Ranks, their merge table in DuckDB, and a bounded cache of encoded chunks."""
+    """Ranks, their merge table in DuckDB, and bounded caches of encoded parts of texts."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -87,7 +92,8 @@ class Codec:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("pairs of ids are packed into 32 bits")
-        self.chunks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
         self.merged: dict[bytes, bytes] = {}
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
@@ -161,12 +167,13 @@ class Codec:
                 offer(before[i])
         return np.array([t for t, a in zip(ids, alive, strict=True) if a], "<i4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        missing = chunks.difference(self.chunks)
-        if len(self.chunks) + len(missing) > CACHED:
-            self.chunks.clear()
-            missing = chunks
-        split = [(c, [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)]) for c in missing]
+    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
+        """Ids of each part, read with ``before`` in front."""
+        missing = parts.difference(known)
+        if len(known) + len(missing) > CACHED:
+            known.clear()
+            missing = parts
+        split = [(x, [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(before + x)]) for x in missing]
         words = []
         for piece in {p for _, pieces in split for p in pieces}.difference(self.merged):
             rank = self.ranks.get(piece)
@@ -177,19 +184,23 @@ class Codec:
             else:
                 words.append(piece)
         self.merged.update(zip(words, self.merge_words(words), strict=True))
-        for chunk, pieces in split:
-            self.chunks[chunk] = b"".join([self.merged[p] for p in pieces])
+        for part, pieces in split:
+            known[part] = b"".join([self.merged[p] for p in pieces])
         if len(self.merged) > MERGED:
             self.merged.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.  Where no two white-space characters meet, every match of the pattern
-        lies within a word with the space before it (or is one white-space character), so a text
-        is cut there and each distinct part is split by the pattern once; other texts are cut by
-        the pattern itself."""
-        cut = [(self.pattern if _TWO_SPACES.search(t) else _CHUNK).findall(t) for t in texts]
-        self._learn(set().union(*cut))
-        return [b"".join(map(self.chunks.__getitem__, parts)) for parts in cut]
+        """Ids of each text.
+
+        Where no two white-space characters meet, every space begins a match of the pattern (alone or
+        with what follows), so a text is cut before its spaces and each distinct part is split by
+        the pattern once; other texts are split by the pattern as they are.
+        """
+        cut = [(self.pattern.findall(t), []) if _TWO_SPACES.search(t) else _at_spaces(t) for t in texts]
+        self._learn(self.heads, set().union(*(heads for heads, _ in cut)), "")
+        self._learn(self.spaced, set().union(*(spaced for _, spaced in cut)), " ")
+        head, spaced = self.heads.__getitem__, self.spaced.__getitem__
+        return [b"".join(map(head, first)) + b"".join(map(spaced, rest)) for first, rest in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
