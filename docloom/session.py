@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # whole texts travel in Arrow batches: some thousand rows of them are enough
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
