@@ -188,15 +188,21 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     return fit([r.text for r in sample], [r.label for r in sample], df, rows)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Blocks of rows with the scores of their last column's texts."""
+    memo = _Codes()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            yield part, model.scores(np.stack([model.vector(x.as_py(), memo) for x in part.column(part.num_columns - 1)]))
+
+
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Codes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                vectors = np.stack([model.vector(x.as_py(), memo) for x in part.column(part.num_columns - 1)])
-                scores = pa.array(model.scores(vectors), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], names=[*part.schema.names[:-1], "score"])
+        for part, scores in _parts(batches, model):
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:-1], pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], "score"]
+            )
 
     return run
 
@@ -225,15 +231,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Data
 
 
 def _keeper(model: Model):
-    score = _scorer(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                (scored,) = score(iter([part]))
-                good = pa.array(np.asarray(scored.column(scored.num_columns - 1)) >= THRESHOLD)
-                kept = part.filter(good)
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+        for part, scores in _parts(batches, model):
+            kept = part.filter(pa.array(scores >= THRESHOLD))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
     return run
