@@ -3,7 +3,8 @@
 Two lines are linked when at most ``tau`` insertions, deletions or substitutions of characters
 turn one into the other.  A line points at the earliest line (by doc_id, then place) among itself
 and the lines linked with it, and stays if that is itself.  Lines under ``min_chars`` characters
-are left alone: a few edits make another line of them.
+take no part in the edit join, as a few edits make another line of them; with ``short`` the
+non-blank ones among them count by equality, so that of all lines only blank ones are left alone.
 
 1. Lines are reduced to distinct texts with their first place, so a line with a third of all
    occurrences is one row; counting is combined before the exchange.
@@ -40,20 +41,25 @@ def split_lines(docs: DataFrame) -> DataFrame:
     ).withColumn("line_no", F.col("line_no") + 1)
 
 
-def _digested(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Lines long enough to take part, with a 128-bit identity."""
-    return split_lines(docs).where(F.char_length("line") >= min_chars).withColumns(
+def takes_part(min_chars: int, short: bool) -> Column:
+    """Whether a line has a class: from ``min_chars`` characters on, with ``short`` wherever it is not blank."""
+    return F.col("line").rlike(r"\S") if short else F.char_length("line") >= min_chars
+
+
+def _digested(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """Lines that take part, with a 128-bit identity."""
+    return split_lines(docs).where(takes_part(min_chars, short)).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(17), "line")}
     )
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def distinct_lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """h1, h2, doc_id, line_no, line: the first place of each distinct line.
 
     The limit of one row a line also runs before the exchange.
     """
     first = Window.partitionBy("h1", "h2").orderBy("doc_id", "line_no")
-    return _digested(docs, min_chars).withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
+    return _digested(docs, min_chars, short).withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
 
 
 def signature(line: Column) -> Column:
@@ -167,20 +173,21 @@ def linked_lines(texts: DataFrame, tau: int = TAU) -> DataFrame:
     ).select("h1", "h2", "n_links", "first.doc_id", "first.line_no")
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """One row per line: doc_id, line_no, first_doc_id, first_line_no, n_links, kept.
 
     ``first_*`` is the earliest place of the line's text or of a text linked with it; ``n_links`` counts
     the *different* texts linked with it; ``kept`` says that the line itself is that place.  Lines
-    under ``min_chars`` point at themselves, have no link and are kept.
+    under ``min_chars`` have no link; with ``short`` they point at the first equal line, unless they are
+    blank (nothing but white space). All other lines point at themselves and are kept.
 
     Nulls and edges: rows with a null text or doc_id have no lines; an empty text is one empty line.
     Rows that repeat a doc_id count as one document: places that coincide are all kept. Only doc_id
     and text are read, so other columns cannot clash.
     """
     docs = docs.select("doc_id", "text")
-    texts = stage(distinct_lines(docs, min_chars), "lines-distinct")
-    links = stage(linked_lines(texts, tau), "lines-linked")
+    texts = stage(distinct_lines(docs, min_chars, short), "lines-distinct")
+    links = stage(linked_lines(texts.where(F.char_length("line") >= min_chars), tau), "lines-linked")
     firsts = texts.select("h1", "h2", F.col("doc_id").alias("own_doc"), F.col("line_no").alias("own_line")).join(
         links.select("h1", "h2", "n_links", F.col("doc_id").alias("link_doc"), F.col("line_no").alias("link_line")),
         ["h1", "h2"], "left",
@@ -188,26 +195,26 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
         "h1", "h2", F.coalesce("link_doc", "own_doc").alias("first_doc_id"),
         F.coalesce("link_line", "own_line").alias("first_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    long = _digested(docs, min_chars).drop("line").join(firsts, ["h1", "h2"]).select(
+    classed = _digested(docs, min_chars, short).drop("line").join(firsts, ["h1", "h2"]).select(
         "doc_id", "line_no", "first_doc_id", "first_line_no", "n_links"
     )
-    short = split_lines(docs).where(F.char_length("line") < min_chars).select(
+    alone = split_lines(docs).where(~takes_part(min_chars, short)).select(
         "doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"),
         F.lit(0).cast("long").alias("n_links"),
     )
-    return long.unionByName(short).withColumn(
+    return classed.unionByName(alone).withColumn(
         "kept", (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
     )
 
 
-def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one; all columns kept.
 
     ``n_chars``, where there is one, is the new length.  Documents of which nothing but white space is
     left leave; those that had no more before stay as they are.
     """
     flags, key, cut = fresh(docs, "line_flags", "doc_key", "text_cut")
-    decided = line_classes(docs, tau, min_chars).groupBy(F.col("doc_id").alias(key)).agg(
+    decided = line_classes(docs, tau, min_chars, short).groupBy(F.col("doc_id").alias(key)).agg(
         F.array_sort(F.collect_set(F.struct("line_no", "kept"))).alias(flags), F.bool_and("kept").alias(cut)
     ).where(~F.col(cut))
     # one flag a line number; where rows repeat a doc_id, a line kept in one of them is kept

@@ -10,7 +10,7 @@ from docloom.llm.line_dedup import MIN_CHARS, TAU, line_classes
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All lines of all documents: where their class starts, their links, whether they stay."""
-    return line_classes(table(spark, folder, "documents"))
+    return line_classes(table(spark, folder, "documents"), short=True)
 
 
 # DuckDB's distance counts bytes: letters of two bytes are first written as one

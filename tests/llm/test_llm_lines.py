@@ -97,3 +97,20 @@ def test_repeated_rows(docs):
     line = "this line is long enough to count"
     out = drop_repeated_lines(docs([(1, line), (1, line), (2, line), (None, line)])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, line), (1, line), (1, line)]
+
+
+def test_short_lines_count_by_equality(spark, docs, tmp_path):
+    from docloom.llm.line_queries import op1_line_dedup
+
+    docs([(1, "All rights reserved.\n\n \nabc"), (2, "abd\nAll rights reserved.\n\n \nabc"), (3, " " * 30), (4, " " * 30)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.n_links, r.kept) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
+    # equal short lines leave; near ones, blank lines and first places stay
+    assert {k: v[:2] for k, v in got.items() if not v[3]} == {(2, 2): (1, 1), (2, 5): (1, 4)}
+    assert len(got) == 11 and all(v[2] == 0 for v in got.values())
+
+
+def test_pipeline_stage_drops_short_repeats(spark, docs):
+    from corpus_pipeline import line_dedup
+
+    out = line_dedup(spark, docs([(1, "tail\n\nAll rights reserved."), (2, "head\n\nAll rights reserved.")]), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("tail\n\nAll rights reserved.", 26), 2: ("head\n", 5)}
