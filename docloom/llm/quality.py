@@ -11,7 +11,8 @@ there are enough, chosen by a hash of their id); every document is scored agains
 
 Vote.  The labelled vectors are broadcast (at most ``LABELLED * DIMENSIONS`` numbers, plus the
 projection of ``TERMS`` rows).  Each task computes exact cosine products block by block and
-averages the labels of the ``NEIGHBOURS`` nearest, weighted by similarity.
+averages the labels of the ``NEIGHBOURS`` nearest, weighted by similarity and by how many training
+rows a sampled row of its label stands for, so that scores do not follow the sample's mix.
 """
 
 from __future__ import annotations
@@ -104,8 +105,9 @@ def _weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 class Model:
     """What the driver fits and every task reads; bounded by the module's constants."""
 
-    def __init__(self, idf, projection, vectors, labels, prior):
+    def __init__(self, idf, projection, vectors, labels, prior, stands):
         self.idf, self.projection, self.vectors, self.labels, self.prior = idf, projection, vectors, labels, prior
+        self.stands = stands
 
     def vector(self, text: str | None, memo: dict) -> np.ndarray:
         terms, counts = term_counts(text, memo)
@@ -114,23 +116,22 @@ class Model:
         return _weights(terms, counts, self.idf) @ self.projection[terms]
 
     def scores(self, vectors: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """Share of label 1 among the nearest labelled vectors, weighted by similarity and the rows each stands for."""
         if not len(self.vectors):
             return np.full(len(vectors), self.prior)
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         products = (vectors / np.where(norms > 0, norms, 1)) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.vectors))
         near = np.argpartition(-products, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(products, near, 1), 0, 1).astype(np.float64) ** 2
+        weight = np.clip(np.take_along_axis(products, near, 1), 0, 1).astype(np.float64) ** 2 * self.stands[near]
         total = weight.sum(1)
         voted = (weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, voted, self.prior), 0.0, 1.0)
 
 
-def fit(texts: list[str | None], labels: list[float], df: np.ndarray, rows: int) -> Model:
-    """Latent-semantic space of the labelled texts (at most ``LABELLED``)."""
-    labels = np.asarray(labels, np.float64)
-    prior = float(labels.mean()) if len(labels) else 1.0
+def fit(texts: list[str | None], labels: list[float], stands: list[float], prior: float, df: np.ndarray, rows: int) -> Model:
+    """Latent-semantic space of the labelled texts (at most ``LABELLED``), each standing for ``stands`` training rows."""
+    labels, stands = np.asarray(labels, np.float64), np.asarray(stands, np.float64)
     idf = (np.log((1 + rows) / (1 + df)) + 0.2).astype(np.float32)
     memo = _Codes()
     matrix = np.zeros((len(texts), TERMS), np.float32)
@@ -140,7 +141,7 @@ def fit(texts: list[str | None], labels: list[float], df: np.ndarray, rows: int)
             matrix[k, terms] = _weights(terms, counts, idf)
     width = min(DIMENSIONS, len(texts))
     if not width:
-        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior)
+        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior, stands)
     # randomised range finder with two power steps
     sketch = matrix @ np.random.default_rng(7).standard_normal((TERMS, min(width + 16, len(texts))), np.float32)
     for _ in range(2):
@@ -150,7 +151,7 @@ def fit(texts: list[str | None], labels: list[float], df: np.ndarray, rows: int)
     vectors = matrix @ projection
     norms = np.linalg.norm(vectors, axis=1)
     used = norms > 0
-    return Model(idf, projection, vectors[used] / norms[used, None], labels[used], prior)
+    return Model(idf, projection, vectors[used] / norms[used, None], labels[used], prior, stands[used])
 
 
 def held_out(doc_id):
@@ -179,13 +180,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
         .withColumn("turn", F.xxhash64("doc_id"))
     )
     # the bounded sample: ids first, texts of the chosen ids after
+    all_low, all_rows, prior = known.agg(F.count_if(F.col("label") < 0.5), F.count("*"), F.avg("label")).first()
     low = known.where("label < 0.5").orderBy("turn", "doc_id").limit(bound // 2).collect()
     high = known.where("label >= 0.5").orderBy("turn", "doc_id").limit(bound - len(low)).collect()
-    chosen = spark.createDataFrame([(r.doc_id, r.label) for r in low + high], "doc_id long, label double")
+    stands = [all_low / max(len(low), 1)] * len(low) + [(all_rows - all_low) / max(len(high), 1)] * len(high)
+    chosen = spark.createDataFrame(
+        [(r.doc_id, r.label, n) for r, n in zip(low + high, stands)], "doc_id long, label double, stands double"
+    )
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.first("label").alias("label")
+        F.min("text").alias("text"), F.first("label").alias("label"), F.first("stands").alias("stands")
     ).orderBy("doc_id").collect()
-    return fit([r.text for r in sample], [r.label for r in sample], df, rows)
+    return fit(
+        [r.text for r in sample], [r.label for r in sample], [r.stands for r in sample], 1.0 if prior is None else prior, df, rows
+    )
 
 
 def _parts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -211,7 +218,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
     """doc_id, held_out, score, predicted: one row per row of ``docs``.
 
     Nulls and edges: a text without words (null, empty, blank) has no direction and gets the share
-    of label 1 among the training rows; without any training row every score is 1, so nothing is
+    of label 1 among all training rows; without any training row every score is 1, so nothing is
     rejected. A null doc_id is scored like any row and never trains. Labels that are null are
     ignored, repeated ones averaged. Only doc_id and text are read, so other columns cannot clash.
     """

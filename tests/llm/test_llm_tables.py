@@ -266,3 +266,14 @@ def test_quality_edges(docs, clash, spark):
 
 def test_shape():
     assert [quality.shape(w) for w in ("Word,", "x***", "ABC!!", "12a", "|", "iPhone")] == ["Aa,", "a*", "A!", "0a", "|", "x"]
+
+
+def test_quality_does_not_follow_the_sample(docs, spark):
+    # one text under both labels, one in ten of them low: the sample holds as many low as high rows
+    rows = [(i, "the same few words") for i in range(400)] + [(900, "")]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score_quality(docs(rows), labels, bound=20).collect()}
+    trained = [i for i in range(400) if not got[i].held_out]
+    share = sum(i % 10 > 0 for i in trained) / len(trained)
+    assert sum(i % 10 == 0 for i in trained) >= 10 and abs(got[900].score - share) < 1e-9
+    assert all(r.predicted == 1 and abs(r.score - share) < 0.15 for r in got.values())
