@@ -8,7 +8,7 @@ import importlib
 from docloom.session import apply_settings
 
 _MODULES = (
-    "line_queries", "near_queries", "packing_queries", "quality_queries", "shard_queries", "token_queries", "url_queries",
+    "alignment_queries", "line_queries", "lm_queries", "near_queries", "packing_queries", "quality_queries", "shard_queries", "token_queries", "url_queries",
     "vector_queries", "warc_queries",
 )
 

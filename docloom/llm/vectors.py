@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def valid_vectors(table: DataFrame, id_column: str, vector: str, allow_zero: bool) -> DataFrame:
-    """(vec_id, v, dim): rows with an id whose vector is not null, not empty and all finite.
+def valid_vectors(table: DataFrame, id_column: str, vector: str, allow_zero: bool, *more: str) -> DataFrame:
+    """(vec_id, v, dim, and the columns ``more``): rows with an id whose vector is not null, not empty and all finite.
 
-    Rows that repeat both id and vector count once.  Vectors of different lengths (``dim``) never
+    Rows that repeat all of these count once.  Vectors of different lengths (``dim``) never
     meet; the operators treat each length as a table of its own.
     """
     v = F.col(vector).cast("array<double>")
@@ -20,7 +22,7 @@ def valid_vectors(table: DataFrame, id_column: str, vector: str, allow_zero: boo
     if not allow_zero:
         usable = usable & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     return (
-        table.where(usable).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).dropDuplicates()
+        table.where(usable).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"), *more).dropDuplicates()
         .withColumn("dim", F.size("v"))
     )
 
@@ -39,6 +41,40 @@ def apart(frame: DataFrame) -> DataFrame:
     return frame.select(*[F.col(c).alias(f"q_{c}") for c in frame.columns])
 
 
+#: a part smaller than this is not worth a task of its own
+_LEAST_ROWS = 1_024
+#: more groups than this share tasks
+_MOST_TASKS = 50_000
+
+
+def paired(rows: DataFrame, queries: DataFrame, part_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every part of ``rows`` with every block of ``queries`` of the same vector length, ready for a cogroup.
+
+    Both sides have ``dim`` and ``vec_id``.  The left side gains ``part`` and ``block``; the right side's columns are
+    all named ``q_...``.  Parts and blocks hold about ``part_rows`` and ``block_rows`` rows at most, whatever the ids
+    are; a small table is cut into as many parts as keep the cores busy.  Both sides are exchanged by the number
+    of groups, so that groups of few bytes and much work do not end up in one task.
+    """
+    spark = rows.sparkSession
+    busy = 2 * spark.sparkContext.defaultParallelism
+    count = lambda frame: {r.dim: r["count"] for r in frame.groupBy("dim").count().collect()}
+    here, asked = count(rows), count(queries)  # one row a vector length
+    cuts = [
+        (dim, max(math.ceil(here[dim] / part_rows), min(busy, math.ceil(here[dim] / _LEAST_ROWS))), math.ceil(asked[dim] / block_rows))
+        for dim in here.keys() & asked.keys()
+    ]
+    groups = min(max(1, sum(p * b for _, p, b in cuts)), _MOST_TASKS)
+    sizes = F.broadcast(spark.createDataFrame(cuts, "dim int, parts long, blocks long"))
+    left = rows.join(sizes, "dim").withColumns(
+        {"part": part_of("vec_id", F.col("parts"), 1), "block": every_part(F.col("blocks"))}
+    ).drop("parts", "blocks")
+    right = queries.join(sizes, "dim").withColumns(
+        {"part": every_part(F.col("parts")), "block": part_of("vec_id", F.col("blocks"), 2)}
+    ).drop("parts", "blocks")
+    keys = ["dim", "part", "block"]
+    return left.repartition(groups, *keys), apart(right).repartition(groups, *[f"q_{c}" for c in keys])
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as rows."""
     array = column.combine_chunks()
