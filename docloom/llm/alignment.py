@@ -35,8 +35,8 @@ from docloom.llm.slices import (
 )
 
 _SPACE = "▁"
-#: before a space that no other space (or the sign that stands for one) precedes, and white space does not follow
-_BREAK = re.compile(f"(?<![ {_SPACE}]) (?=\\S)")
+#: before a space that follows something (but no space nor the sign that stands for one) and that no white space follows
+_BREAK = re.compile(f"(?<=[^ {_SPACE}]) (?=\\S)")
 _ODD = re.compile(f"[ {_SPACE}] | (?!\\S)")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _SLICE = (
