@@ -1,24 +1,25 @@
 """Line dedup: a segment-partition edit join over all distinct lines, DataFrame functions only.
 
-Two lines are linked when at most ``tau`` insertions, deletions or substitutions of characters
-turn one into the other.  A line points at the earliest line (by doc_id, then place) among itself
-and the lines linked with it, and stays if that is itself.  Lines under ``min_chars`` characters
-take no part in the edit join, as a few edits make another line of them; with ``short`` the
-non-blank ones among them count by equality, so that of all lines only blank ones are left alone.
+Two lines are linked when few insertions, deletions or substitutions of characters turn one into the
+other: one for every ``PER_EDIT`` characters of the shorter line, ``tau`` at most.  So lines under
+``PER_EDIT`` characters link by equality alone, as a single edit makes another line of them.  A line
+points at the earliest line (by doc_id, then place) among itself and the lines linked with it, and
+stays if that is itself.  Blank lines are left alone.
 
 1. Lines are reduced to distinct texts with their first place, so a line with a third of all
    occurrences is one row; counting is combined before the exchange.
-2. Index: a text of ``n`` characters is cut into ``tau + 1`` segments.  Within ``tau`` edits at
-   least one segment survives whole.
-3. Probe: a text looks up the substrings that a surviving segment of a text of ``n - tau .. n``
+2. Classes: texts whose length allows ``t`` edits are joined for t edits.  Index: a text of ``n``
+   characters is cut into ``t + 1`` segments.  Within ``t`` edits at least one survives whole.
+3. Probe: a text looks up the substrings that a surviving segment of a text of ``n - t .. n``
    characters can be.  If segment ``i`` is the first one without an edit, at most ``i`` edits lie
-   before it and at most ``tau - i`` after it, so only starts shifted that little count.  Keys
-   are (segment number, segment length, segment); lengths that cut alike share a key.
-4. Rows that share no key with another text leave by semi joins, which emit no pairs.  Only for the
-   texts left a letter signature is made: 64 parity bits, of which an edit flips at most two.  The
-   join that forms pairs demands that signatures differ in at most ``2 tau`` bits, so even a
-   bucket of variants of one text emits hardly more than its true links.
-5. Verification: Hyyro's bit-parallel recurrence on a band of ``2 tau + 1`` diagonals.
+   before it and at most ``t - i`` after it, so only starts shifted that little count.  Keys
+   are (t, segment number, segment length, segment); lengths that cut alike share a key.
+4. Rows that share no key with another text leave by semi joins, which emit no pairs.
+5. The texts of a key meet in blocks of bounded number and size: a row is a block of indexed and
+   a block of probing texts.  Inside a row, a pair counts under the least key it shares only, must agree
+   in a letter signature (64 parity bits, of which an edit flips at most two), and is verified by
+   Hyyro's bit-parallel recurrence on a band of ``2 t + 1`` diagonals.  A row gives one row for each text
+   with links: their number and the earliest place.  A group of mutual near copies never becomes pairs.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 from docloom.llm.common import fresh, stage
 
 TAU = 2
-MIN_CHARS = 24
+PER_EDIT = 5
 #: Up to this many candidate ids (16 bytes each) are broadcast to fetch their texts.
 BROADCAST_IDS = 1_000_000
+#: texts and characters of a block
+BLOCK_TEXTS = 128
+BLOCK_CHARS = 1 << 20
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -41,25 +45,20 @@ def split_lines(docs: DataFrame) -> DataFrame:
     ).withColumn("line_no", F.col("line_no") + 1)
 
 
-def takes_part(min_chars: int, short: bool) -> Column:
-    """Whether a line has a class: from ``min_chars`` characters on, with ``short`` wherever it is not blank."""
-    return F.col("line").rlike(r"\S") if short else F.char_length("line") >= min_chars
-
-
-def _digested(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """Lines that take part, with a 128-bit identity."""
-    return split_lines(docs).where(takes_part(min_chars, short)).withColumns(
+def _digested(docs: DataFrame) -> DataFrame:
+    """Lines that are not blank, with a 128-bit identity."""
+    return split_lines(docs).where(F.col("line").rlike(r"\S")).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(17), "line")}
     )
 
 
-def distinct_lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+def distinct_lines(docs: DataFrame) -> DataFrame:
     """h1, h2, doc_id, line_no, line: the first place of each distinct line.
 
     The limit of one row a line also runs before the exchange.
     """
     first = Window.partitionBy("h1", "h2").orderBy("doc_id", "line_no")
-    return _digested(docs, min_chars, short).withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
+    return _digested(docs).withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
 
 
 def signature(line: Column) -> Column:
@@ -92,16 +91,25 @@ def probe_places(n: Column, tau: int) -> Column:
     ]))
 
 
-def keyed(texts: DataFrame, places: Column, name: str) -> DataFrame:
-    """A row (key, text's h1) for each place; the key is hashed after the rows are made, so one
+def keyed(texts: DataFrame, places: Column, tau: int, name: str) -> DataFrame:
+    """A row (key, text's h1, class) for each place; the key is hashed after the rows are made, so one
     small expression runs in a loop."""
     rows = texts.select(F.col("h1").alias(name), "line", F.explode(places).alias("at"))
     start, size = F.shiftright("at", 30).bitwiseAND(F.lit((1 << 30) - 1)), F.col("at").bitwiseAND(F.lit((1 << 30) - 1))
     segment = F.substring("line", start.cast("int") + 1, size.cast("int"))
-    return rows.select(F.xxhash64(F.shiftright("at", 60), size, segment).alias("key"), name)
+    return rows.select(F.xxhash64(F.shiftright("at", 60), size, segment, F.lit(tau)).alias("key"), name, F.lit(tau).alias("t"))
 
 
 def within(a: str, b: str, tau: int) -> Column:
+    """``within_sql`` as a column."""
+    return F.expr(within_sql(a, b, tau))
+
+
+def _compact(sql: str) -> str:
+    return " ".join(sql.split())
+
+
+def within_sql(a: str, b: str, tau: int) -> str:
     """Whether the edit distance of two string columns of more than ``tau`` characters, whose
     lengths differ by at most ``tau``, is at most ``tau``.
 
@@ -111,7 +119,7 @@ def within(a: str, b: str, tau: int) -> Column:
     """
     low = (1 << (2 * tau + 1)) - 1
     hits = " + ".join(f"if(get(c.x, j - {tau + 1} + {k}) = get(c.y, j - 1), {1 << k}L, 0L)" for k in range(2 * tau + 1))
-    return F.expr(f"""
+    return f"""
       transform(array(named_struct('x', split({a}, ''), 'y', split({b}, ''), 'm', char_length({a}), 'n', char_length({b}))), c ->
         aggregate(
           transform(sequence(1, c.n), j -> named_struct('eq', {hits}, 'j', j)),
@@ -128,66 +136,100 @@ def within(a: str, b: str, tau: int) -> Column:
                   cast(shiftright(h.p, c.m - e.j + {tau}) & 1 as int) - cast(shiftright(h.n, c.m - e.j + {tau}) & 1 as int))
               ))[0])[0],
           s -> s.d <= {tau}))[0]
-    """)
+    """
 
 
-def linked_lines(texts: DataFrame, tau: int = TAU) -> DataFrame:
-    """h1, h2, n_links, doc_id, line_no: of each linked text the earliest place among it and its links."""
+def edit_class(texts: DataFrame, t: int, tau: int) -> DataFrame:
+    """The texts that may be the shorter or the longer one of a pair with exactly ``t`` edits allowed."""
     n = F.char_length("line")
-    index = keyed(texts, index_places(n, tau), "h1")
-    probes = keyed(texts, probe_places(n, tau), "h1b")
+    return texts.where(n >= PER_EDIT * t) if t == tau else texts.where(n.between(PER_EDIT * t, PER_EDIT * (t + 1) - 1 + t))
+
+
+def _keys(texts: DataFrame, tau: int) -> DataFrame:
+    """h1, key, t, indexed: the keys under which a text meets another one."""
+    n, index, probes = F.char_length("line"), None, None
+    for t in range(1, tau + 1):
+        own = edit_class(texts, t, tau)
+        i, p = keyed(own, index_places(n, t), t, "h1"), keyed(own, probe_places(n, t), t, "h1b")
+        index, probes = (i, p) if index is None else (index.unionByName(i), probes.unionByName(p))
     other = [index.key == probes.key, index.h1 != probes.h1b]
-    found = stage(
-        index.join(probes, other, "left_semi").select("key", "h1", F.lit(True).alias("indexed"))
-        .unionByName(probes.join(index, other, "left_semi").select("key", F.col("h1b").alias("h1"), F.lit(False).alias("indexed"))),
+    return stage(
+        index.join(probes, other, "left_semi").select("key", "h1", "t", F.lit(True).alias("indexed"))
+        .unionByName(probes.join(index, other, "left_semi").select("key", F.col("h1b").alias("h1"), "t", F.lit(False).alias("indexed"))),
         "lines-keys",
     )
+
+
+def _blocks(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, t, u, v: blocks of indexed and of probing texts, each with all keys it has on its side."""
+    keys = found.groupBy("h1", "t", "indexed").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    held = stage(keys.join(wanted, "h1"), "lines-held")
+    members = held.withColumn("key", F.explode("keys"))
+    crowded = members.groupBy("key", "indexed").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_CHARS)).alias("blocks")
+    ).where("blocks > 1")
+    dealt = members.join(crowded, ["key", "indexed"], "left").withColumn(
+        "block", F.pmod(F.xxhash64("h1", F.lit(5)), F.coalesce("blocks", F.lit(1)))
+    )
+    one = F.struct("h1", "h2", "doc_id", "line_no", "line", "n", "bits", "keys")
+    grouped = dealt.groupBy("key", "t", "indexed", "block").agg(F.collect_list(one).alias("m"))
+    side = lambda indexed, name: grouped.where(indexed).select("key", "t", F.col("m").alias(name))
+    return side("indexed", "us").join(side("not indexed", "vs"), ["key", "t"])
+
+
+def _linked_in_block(tau: int) -> Column:
+    """The texts of a row of blocks that have links there: h1, h2, n_links, first (their earliest place)."""
+    check = " ".join(f"when {t} then {_compact(within_sql('u.line', 'v.line', t))}" for t in range(1, tau + 1))
+    linked = f"""
+      (u.n < v.n or (u.n = v.n and u.h1 < v.h1)) and v.n - u.n <= t and (t = {tau} or u.n < {PER_EDIT} * (t + 1))
+      and bit_count(u.bits ^ v.bits) <= 2 * t and array_min(array_intersect(u.keys, v.keys)) = key and case t {check} end
+    """
+    place = "named_struct('doc_id', {0}.doc_id, 'line_no', {0}.line_no)".format
+    told = lambda x, y, ys, hit: f"""
+      named_struct('h1', {x}.h1, 'h2', {x}.h2, 'own', {place(x)}, 'near', transform(filter({ys}, ({y}, k) -> {hit}), {y} -> {place(y)}))
+    """
+    return F.expr(f"""
+      transform(array(transform(us, u -> transform(vs, v -> {linked}))), hits ->
+        transform(
+          filter(
+            concat(
+              transform(us, (u, i) -> {told('u', 'v', 'vs', 'hits[i][k]')}),
+              transform(vs, (v, j) -> {told('v', 'u', 'us', 'hits[k][j]')})
+            ),
+            x -> size(x.near) > 0),
+          x -> named_struct('h1', x.h1, 'h2', x.h2, 'n_links', cast(size(x.near) as long), 'first', least(x.own, array_min(x.near)))
+        ))[0]
+    """)
+
+
+def linked_lines(texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """h1, h2, n_links, doc_id, line_no: of each linked text the earliest place among it and its links."""
+    found = _keys(texts, tau)
     ids = stage(found.select("h1").distinct(), "lines-ids")
     # a checked size decides whether ids travel to the texts or both are exchanged
     few = ids.count() <= BROADCAST_IDS
-    wanted = stage(
-        texts.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-        .withColumns({"n": F.char_length("line"), "bits": signature(F.col("line"))}),
-        "lines-wanted",
-    )
-    signed = found.join(wanted.select("h1", "n", "bits"), "h1")
-    a = signed.where("indexed").select("key", F.col("h1").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
-    b = signed.where("not indexed").select("key", F.col("h1").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
-    near = f"a <> b and abs(na - nb) <= {tau} and bit_count(x ^ y) <= {2 * tau}"
-    pairs = stage(
-        a.join(b, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "lines-candidates",
-    )
-    side = lambda x: wanted.select(*[F.col(c).alias(f"{c}_{x}") for c in ("h1", "h2", "doc_id", "line_no", "line")])
-    verified = (
-        pairs.join(side("a"), F.col("a") == F.col("h1_a")).join(side("b"), F.col("b") == F.col("h1_b"))
-        .where(within("line_a", "line_b", tau)).drop("line_a", "line_b")
+    wanted = texts.join(F.broadcast(ids) if few else ids, "h1", "left_semi").withColumns(
+        {"n": F.char_length("line"), "bits": signature(F.col("line"))}
     )
-    ends = [
-        F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("h1", "h2")], *[F.col(f"{c}_{y}").alias(c) for c in ("doc_id", "line_no")], F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("doc_id", "line_no")]).alias("own"))
-        for x, y in (("a", "b"), ("b", "a"))
-    ]
-    return verified.select(F.explode(F.array(*ends)).alias("e")).select("e.*").groupBy("h1", "h2").agg(
-        F.count("*").alias("n_links"),
-        F.least(F.min(F.struct("doc_id", "line_no")), F.min("own")).alias("first"),
+    return _blocks(found, wanted).select(F.explode(_linked_in_block(tau)).alias("e")).groupBy("e.h1", "e.h2").agg(
+        F.sum("e.n_links").alias("n_links"), F.min("e.first").alias("first")
     ).select("h1", "h2", "n_links", "first.doc_id", "first.line_no")
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row per line: doc_id, line_no, first_doc_id, first_line_no, n_links, kept.
 
     ``first_*`` is the earliest place of the line's text or of a text linked with it; ``n_links`` counts
-    the *different* texts linked with it; ``kept`` says that the line itself is that place.  Lines
-    under ``min_chars`` have no link; with ``short`` they point at the first equal line, unless they are
-    blank (nothing but white space). All other lines point at themselves and are kept.
+    the *different* texts linked with it; ``kept`` says that the line itself is that place.  Blank lines
+    (nothing but white space) point at themselves and are kept.
 
     Nulls and edges: rows with a null text or doc_id have no lines; an empty text is one empty line.
     Rows that repeat a doc_id count as one document: places that coincide are all kept. Only doc_id
     and text are read, so other columns cannot clash.
     """
     docs = docs.select("doc_id", "text")
-    texts = stage(distinct_lines(docs, min_chars, short), "lines-distinct")
-    links = stage(linked_lines(texts.where(F.char_length("line") >= min_chars), tau), "lines-linked")
+    texts = stage(distinct_lines(docs), "lines-distinct")
+    links = stage(linked_lines(texts, tau), "lines-linked")
     firsts = texts.select("h1", "h2", F.col("doc_id").alias("own_doc"), F.col("line_no").alias("own_line")).join(
         links.select("h1", "h2", "n_links", F.col("doc_id").alias("link_doc"), F.col("line_no").alias("link_line")),
         ["h1", "h2"], "left",
@@ -195,10 +237,10 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, sh
         "h1", "h2", F.coalesce("link_doc", "own_doc").alias("first_doc_id"),
         F.coalesce("link_line", "own_line").alias("first_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    classed = _digested(docs, min_chars, short).drop("line").join(firsts, ["h1", "h2"]).select(
+    classed = _digested(docs).drop("line").join(firsts, ["h1", "h2"]).select(
         "doc_id", "line_no", "first_doc_id", "first_line_no", "n_links"
     )
-    alone = split_lines(docs).where(~takes_part(min_chars, short)).select(
+    alone = split_lines(docs).where(~F.col("line").rlike(r"\S")).select(
         "doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"),
         F.lit(0).cast("long").alias("n_links"),
     )
@@ -207,14 +249,14 @@ def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, sh
     )
 
 
-def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one; all columns kept.
 
     ``n_chars``, where there is one, is the new length.  Documents of which nothing but white space is
     left leave; those that had no more before stay as they are.
     """
     flags, key, cut = fresh(docs, "line_flags", "doc_key", "text_cut")
-    decided = line_classes(docs, tau, min_chars, short).groupBy(F.col("doc_id").alias(key)).agg(
+    decided = line_classes(docs, tau).groupBy(F.col("doc_id").alias(key)).agg(
         F.array_sort(F.collect_set(F.struct("line_no", "kept"))).alias(flags), F.bool_and("kept").alias(cut)
     ).where(~F.col(cut))
     # one flag a line number; where rows repeat a doc_id, a line kept in one of them is kept

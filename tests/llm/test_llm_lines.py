@@ -42,13 +42,14 @@ def test_banded_distance(spark, tau):
     assert frame.where(within("a", "b", tau) != F.col("want")).count() == 0
 
 
-def brute(rows, tau, min_chars):
+def brute(rows, tau=2, per_edit=5):
     places = [(d, n, line) for d, t in rows if t is not None and d is not None for n, line in enumerate(t.split("\n"), 1)]
     first = {}
     for d, n, line in sorted(places):
-        if len(line) >= min_chars:
+        if line.strip(" \t\n\x0b\f\r"):
             first.setdefault(line, (d, n))
-    near = {a: [b for b in first if b != a and abs(len(a) - len(b)) <= tau and distance(a, b) <= tau] for a in first}
+    fits = lambda a, b, k: k and abs(len(a) - len(b)) <= k and distance(a, b) <= k
+    near = {a: [b for b in first if b != a and fits(a, b, min(tau, len(a) // per_edit, len(b) // per_edit))] for a in first}
     out = set()
     for d, n, line in places:
         at = min([first[line], *(first[b] for b in near[line])]) if line in first else (d, n)
@@ -58,13 +59,13 @@ def brute(rows, tau, min_chars):
 
 def corpus():
     rnd = random.Random(11)
-    bases = ["".join(rnd.choice("abcdeét no") for _ in range(rnd.randint(24, 60))) for _ in range(12)]
+    bases = ["".join(rnd.choice("abcdeét no") for _ in range(rnd.randint(3, 60))) for _ in range(24)]
     rows = []
     for d in range(40):
         lines = []
         for _ in range(rnd.randint(1, 6)):
             base = rnd.choice(bases)
-            lines.append(rnd.choice([base, edited(rnd, base, rnd.randint(0, 3)), "short", "", "x" * rnd.randint(23, 26)]))
+            lines.append(rnd.choice([base, edited(rnd, base, rnd.randint(0, 3)), "short", "", "x" * rnd.randint(1, 26)]))
         rows.append((d, "\n".join(lines)))
     return [*rows, (90, None), (91, ""), (92, "\n\n"), (93, "z" * 70_000), (94, "z" * 69_998 + "yy"), (95, "z" * 69_990)]
 
@@ -72,7 +73,7 @@ def corpus():
 def test_against_brute_force(docs, clash):
     rows = corpus()
     found = line_classes(clash(docs(rows[:-3] + rows[-1:]))).collect()
-    want = brute(rows[:-3] + rows[-1:], 2, 24)
+    want = brute(rows[:-3] + rows[-1:])
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
@@ -88,7 +89,7 @@ def test_documents_without_repeated_lines(docs, clash):
     assert out.columns == frame.columns and out.schema["n_chars"].dataType == frame.schema["n_chars"].dataType
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {
-        1: (f"{line}\nshort", 39), 3: ("new words in a line of some length\nshort", 40), 4: (None, None), 5: ("", 0), 6: (" ", 1)
+        1: (f"{line}\nshort", 39), 3: ("new words in a line of some length", 34), 4: (None, None), 5: ("", 0), 6: (" ", 1)
     }
     assert drop_repeated_lines(docs([])).count() == 0
 
@@ -99,14 +100,28 @@ def test_repeated_rows(docs):
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, line), (1, line), (1, line)]
 
 
-def test_short_lines_count_by_equality(spark, docs, tmp_path):
+def test_short_lines(spark, docs, tmp_path):
     from docloom.llm.line_queries import op1_line_dedup
 
-    docs([(1, "All rights reserved.\n\n \nabc"), (2, "abd\nAll rights reserved.\n\n \nabc"), (3, " " * 30), (4, " " * 30)]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.n_links, r.kept) for r in op1_line_dedup(spark, str(tmp_path)).collect()}
-    # equal short lines leave; near ones, blank lines and first places stay
-    assert {k: v[:2] for k, v in got.items() if not v[3]} == {(2, 2): (1, 1), (2, 5): (1, 4)}
-    assert len(got) == 11 and all(v[2] == 0 for v in got.values())
+    rows = [(1, "All rights reserved.\n\n \nabc"), (2, "abd\nAll rights reserved\n\n \nabc"), (3, " " * 30), (4, " " * 30), (5, "page 1\npage 22\nabcdefghij"),
+            (6, "page 2\nabcdefgh"), (7, "abxdefghik\nabcdefgh!")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op1_line_dedup(spark, str(tmp_path)).collect()]
+    assert set(got) == brute(rows) and len(got) == len(brute(rows))
+    kept = {r[:2]: r[5] for r in got}
+    # one edit for every five characters: near lines leave, under five characters only equal ones
+    assert not kept[2, 2] and not kept[2, 5] and kept[2, 1] and not kept[6, 1] and not kept[7, 1] and kept[6, 2]
+
+
+def test_blocks_of_mutual_copies(spark, docs, monkeypatch):
+    from docloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK_TEXTS", 7)
+    base = "one line of which very many variants exist in this table of documents"
+    rows = [(k, base[: k % 60] + chr(97 + k % 26) + base[k % 60 + 1 :]) for k in range(120)] + [(200 + k, f"item {k:02d}") for k in range(40)]
+    found = line_classes(docs(rows)).collect()
+    assert {tuple(r) for r in found} == brute(rows) and len(found) == len(rows)
+    assert max(r.n_links for r in found) > 90
 
 
 def test_pipeline_stage_drops_short_repeats(spark, docs):

@@ -7,10 +7,10 @@ from docloom.llm.common import stage, table
 from tokenizers import Tokenizer
 
 
-def plain_lines(rows, tau=2, min_chars=24):
+def plain_lines(rows):
     from test_llm_lines import brute
 
-    kept = {(d, n) for d, n, *_, k in brute(rows, tau, min_chars) if k}
+    kept = {(d, n) for d, n, *_, k in brute(rows) if k}
     out = []
     for d, text in rows:
         if text is None or d is None:

@@ -50,7 +50,7 @@ def close(a, b):
 
 @pytest.mark.parametrize("size", [200, 16 << 20])
 def test_scores(docs, clash, rows, monkeypatch, size):
-    monkeypatch.setattr(slices, "BUCKET_KEYS", 50)
+    monkeypatch.setattr(slices, "BUCKET_KEYS", 1500)
     got = sorted((tuple(r) for r in score_texts(clash(docs(rows).repartition(3)), slice_bytes=size).collect()), key=str)
     want = sorted(plain_scores(rows), key=str)
     assert len(got) == len(want) and all(close(a, b) for a, b in zip(got, want, strict=True))
@@ -131,7 +131,7 @@ def plain_alignment(rows):
 
 @pytest.mark.parametrize("size", [200, 16 << 20])
 def test_alignment(docs, clash, rows, monkeypatch, size):
-    monkeypatch.setattr(slices, "BUCKET_KEYS", 50)
+    monkeypatch.setattr(slices, "BUCKET_KEYS", 1500)
     got = sorted((tuple(r) for r in align_tokenizers(clash(docs(rows).repartition(3)), BYTES, PIECES, size).collect()), key=str)
     want = sorted(plain_alignment(rows), key=str)
     assert got == want and sum(r[1] > 0 for r in got) > 60
