@@ -275,7 +275,7 @@ def _measure(buckets: int, best: np.ndarray):
     return run
 
 
-def text_measures(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def text_measures(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int = SLICE_BYTES // 2) -> DataFrame:
     """digest, copies, n_a, n_b, n_groups, n_links, n_best, count_sum, sha: one row per distinct non-empty text.
 
     ``digest`` is the SHA-256 of the text; the other columns are those of ``align_tokenizers``.
@@ -300,7 +300,7 @@ def _digest():
     return F.unhex(F.sha2("text", 256))
 
 
-def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int = SLICE_BYTES // 2) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: one row per row of ``docs``.
 
     ``n_best`` counts the links whose pair has its A id's corpus-wide highest count (ties included), ``count_sum`` adds

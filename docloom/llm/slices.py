@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import stage_path
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 12 << 20
 BUCKET_KEYS = 1 << 21
 #: slices a file of the staged table holds: a reader takes a whole file at once
 _FILE_SLICES = 4
