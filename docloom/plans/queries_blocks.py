@@ -15,7 +15,7 @@ from docloom.plans import matrix as plan
 from docloom.plans.corpus import (
     LINES_SQL, MANUAL_LINES_SQL, documents, key_sql, manual_documents, table,
 )
-from docloom.plans.queries_rows import ORACLES as ROW_ORACLES
+from docloom.plans.queries_rows import EXPIRING_SQL, as_status_events
 from docloom.plans.queries_text import _OUT, _SECTIONED_SQL
 from docloom.plans.staging import staging_dir, write_stage
 from docloom.sources import rulebook
@@ -440,26 +440,24 @@ def typed_corpus(spark, sf):
     return plan.typed_corpus(manual_documents(spark, sf)).select(*_OUT)
 
 
-@query("live_status")
+@query(
+    "live_status",
+    f"""WITH {EXPIRING_SQL}
+    SELECT id, expired, CASE WHEN NOT expired THEN status END AS status, CASE WHEN NOT expired THEN stage END AS stage,
+           CASE WHEN NOT expired THEN done END AS done, CASE WHEN NOT expired THEN total END AS total,
+           CASE WHEN NOT expired THEN percent END AS percent, updated_at
+    FROM (SELECT *, id IN (SELECT id FROM broken) OR updated_at + INTERVAL 1 DAY < (SELECT max(event_ts) FROM ev) - INTERVAL 10 MINUTE AS expired
+          FROM status)""",
+)
 def live_status(spark, sf):
-    """Event stream to latest job states; equals the batch fold over the same events."""
+    """Event stream to job states, those without events for a day expired by a timer; equals a batch fold."""
     schema = table(spark, sf, "events").schema
-    stream = status_stream.read_events(spark, sf, schema, "events.parquet").where("user_id % 13 <> 5 or event_type <> 'signup'")
-    kind = F.col("event_type")
-    events = stream.select(
-        F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_id").alias("seq"),
-        F.when(kind == "signup", "start").when(kind == "purchase", "complete").when(kind == "error", "error").otherwise("update").alias("kind"),
-        kind.alias("stage"), F.col("props").alias("message"),
-        F.when(kind == "view", F.col("event_id") % 17).alias("done"),
-        F.when(kind.isin("view", "signup"), 17 + F.col("event_id") % 3).alias("total"),
-    )
+    events = as_status_events(status_stream.read_events(spark, sf, schema, "events.parquet"))
     import uuid
 
     base = f"{staging_dir(spark)}/status-{uuid.uuid4().hex}"
-    status_stream.merge_status(status_stream.live_status(events), f"{base}/table", f"{base}/log").awaitTermination()
-    saved = spark.read.parquet(f"{base}/table")
-    newest = saved.groupBy("id").agg(F.max_by(F.struct(*[c for c in saved.columns if c not in ("id", "batch")]), "batch").alias("s"))
-    return newest.select("id", "s.*").drop("message")
+    status_stream.merge_status(status_stream.live_status(events, "1 day"), f"{base}/table", f"{base}/log").awaitTermination()
+    return status_stream.newest_status(spark.read.parquet(f"{base}/table")).drop("message")
 
 
 @query("closed_sessions")
@@ -476,4 +474,3 @@ def closed_sessions(spark, sf):
     status_stream.start_table(status_stream.closed_sessions(stream), f"{base}/table", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/table")
 
-ORACLES["live_status"] = ROW_ORACLES["latest_status"]
