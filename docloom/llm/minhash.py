@@ -15,9 +15,10 @@ With 32 bands of 5 rows a pair at similarity 0.85 is missed with probability 7e-
 Verification.  Every link is confirmed on full sets.  Equal sets are one representative
 beforehand, so groups of copies cost one row.  Then
 
-1. every member of a bucket is verified against the bucket's pivot (one pair per member), and
-   the links' components are found;
-2. only buckets that still hold several components go on: in small ones all pairs *across*
+1. every set is verified against the pivot (least member) it shares most buckets with, and the links'
+   components are found; a group of near copies is mostly one component by then;
+2. a set and another pivot of its buckets are verified only where they are in different components;
+3. only buckets that still hold several components go on: in small ones all pairs *across*
    components are verified, larger ones are cut into blocks of ``BLOCK`` members, pairs of
    blocks become tasks of their own, and each emits one spanning forest of the links it found.
 
@@ -42,8 +43,11 @@ BANDS = 32
 ROWS = 5
 #: Buckets up to this many members list their pairs, larger ones are verified block by block.
 PAIRED = 12
-#: Members in a block, and the most shingles a block is compared with at once.
+#: Members and shingles of a block (one longer set is a block of its own).
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 20
+#: Up to this many ids (8 bytes each) are broadcast to fetch their texts.
+BROADCAST_IDS = 2_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -140,9 +144,9 @@ def _sketches(words: int, bands: int, rows: int):
                 [
                     batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), batch.column(2), batch.column(3),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                names=["doc_id", "n_shingles", "h1", "h2", "bands", "t1", "t2"],
             )
 
     return run
@@ -206,7 +210,7 @@ def block_links(
     """Spanning forest of the links across components between two blocks (or within one).
 
     A block is (ids, components, sets).  Intersections are counted through the sorted list of
-    (shingle, member) entries, strip by strip, so memory follows the sets, not their product.
+    (shingle, member) entries, one member of the left block at a time; a block's sets are bounded in all.
     """
     a_ids, a_roots, a_sets = left
     b_ids, b_roots, b_sets = right or left
@@ -259,12 +263,19 @@ def near_duplicates(
 
     Nulls and edges: a null or blank text has an empty set, is linked with nothing and kept.
     A null doc_id takes no part in linking; its component is null and it is kept.  Rows that
-    repeat a doc_id, with the same text or another, are one node: they share its component.  Columns other than doc_id and text are not read.
+    repeat a doc_id are told apart by their sets: those with the same set share a component, another set has its own.
+    Columns other than doc_id and text are not read.
     """
+    return _marked(docs, num, den, words, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, num: int, den: int, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` with a digest of each row's text (t1, t2)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stage(
-        base.mapInArrow(
-            _sketches(words, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+        base.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(23), "text").alias("t2")).mapInArrow(
+            _sketches(words, bands, rows),
+            "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, t1 long, t2 long",
         ),
         "minhash-sketches",
     )
@@ -285,18 +296,27 @@ def near_duplicates(
         members.join(buckets, "bk").select("bk", "rep", "n", "size", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pn")),
         "minhash-buckets",
     )
-    needed = shared.select("rep").distinct()
-    texts = base.where("doc_id is not null").join(needed, F.col("doc_id") == F.col("rep"), "left_semi")
+    needed = stage(shared.select("rep").distinct(), "minhash-ids")
+    # a checked size decides whether ids travel to the texts or both are exchanged
+    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    texts = base.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
     sets = stage(
         texts.select("doc_id", "text").mapInArrow(_sets(words), "rep long, shingles array<long>"), "minhash-sets"
     )
-    star = (
+    star = stage(
         shared.where("rep <> pivot").where(_fits("n", "pn", num, den))
-        .select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        .groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("buckets")),
+        "minhash-star",
     )
-    first = stage(_verify(star, sets, num, den), "minhash-links")
+    nearest = star.groupBy("a").agg(F.max(F.struct("buckets", -F.col("b"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
+    first = stage(_verify(nearest, sets, num, den), "minhash-links")
     roots = components(first, "minhash-first")
-    second = _across(shared, roots, sets, num, den)
+    rooted = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    rest = star.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").where(
+        "coalesce(root_a, a) <> coalesce(root_b, b)"
+    ).select("a", "b")
+    first = stage(first.unionByName(_verify(rest, sets, num, den)), "minhash-star-links")
+    second = _across(shared, components(first, "minhash-second"), sets, num, den)
     links = stage(first.unionByName(second), "minhash-all-links")
     final = components(links, "minhash-final")
     return _labelled(sketched, groups, final)
@@ -308,18 +328,20 @@ def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den:
         "bk", "rep", "n", F.coalesce("root", "rep").alias("root")
     )
     mixed = tagged.groupBy("bk").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")
-    ).where("lo <> hi").select("bk", "size")
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"),
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+    ).where("lo <> hi").select("bk", "size", "blocks")
     open_rows = stage(tagged.join(mixed, "bk"), "minhash-open")
-    few = open_rows.where(F.col("size") <= PAIRED)
+    listed = F.col("size") <= PAIRED
+    few = open_rows.where(listed)
     x = few.select("bk", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = few.select("bk", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = (
         x.join(y, "bk").where("a < b and ra <> rb").where(_fits("na", "nb", num, den)).select("a", "b").distinct()
     )
-    many = open_rows.where(F.col("size") > PAIRED).withColumn(
-        "own", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    ).withColumn("last", (F.ceil(F.col("size") / BLOCK) - 1).cast("int"))
+    many = open_rows.where(~listed).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
+        "last", F.col("blocks") - 1
+    )
     spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select(
         "bk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root"
     )
@@ -335,13 +357,18 @@ def _labelled(sketched: DataFrame, groups: DataFrame, final: DataFrame) -> DataF
         "h1", "h2", F.coalesce("root", "rep").alias("component_id")
     )
     usable = "doc_id is not null and h1 is not null"
-    linked = sketched.where(usable).join(rooted, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    alone = sketched.where(f"not ({usable})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = sketched.where(usable).join(rooted, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id", "t1", "t2")
+    alone = sketched.where(f"not ({usable})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "t1", "t2")
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without near duplicates: of each group the least doc_id stays, all columns kept."""
-    (gone,) = fresh(docs, "doc_id_gone")
-    drop = near_duplicates(docs, num, den).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    """The documents without near duplicates: of each group the least doc_id stays, all columns kept.
+
+    Rows leave by doc_id and text, so where rows repeat a doc_id each of its texts is decided on its own; rows that repeat
+    both stay or leave together.
+    """
+    gone = fresh(docs, "doc_id_gone", "text_gone_1", "text_gone_2")
+    drop = _marked(docs, num, den).where("not kept").select(*[F.col(c).alias(g) for c, g in zip(("doc_id", "t1", "t2"), gone, strict=True)]).distinct()
+    here = (F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(F.lit(23), "text"))
+    return docs.join(drop, [h == F.col(g) for h, g in zip(here, gone, strict=True)], "left_anti")

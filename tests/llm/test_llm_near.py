@@ -131,3 +131,12 @@ def test_components(spark):
     want = {x: find(x) for x in root if find(x) != x}
     assert {r.node: r.root for r in found if r.node != r.root} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_id_with_two_texts(docs):
+    x, y = "one text of some words that is here twice or more often", "quite another text with words nobody else has in this table"
+    rows = [(3, x), (5, x), (5, y), (7, y + " now"), (8, x), (8, x)]
+    frame = docs(rows)
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame).collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (8, 3, False), (8, 3, False)]
+    assert sorted((r.doc_id, r.text) for r in keep_one(frame).collect()) == [(3, x), (5, y)]
