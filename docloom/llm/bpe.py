@@ -32,9 +32,13 @@ from pyspark.sql import functions as F
 LONG = 256
 SLICE_CHARS = 6_000_000
 SLICE_TOKENS = 1_000_000
-#: Parts of texts and pieces a worker remembers; either is emptied when full.
-CACHED = 400_000
-MERGED = 700_000
+#: Bytes of parts of texts and of pieces a worker remembers; either is emptied when full.
+CACHED = 80 << 20
+MERGED = 120 << 20
+#: Bytes of an entry beside its characters and ids.
+_ENTRY = 150
+#: Marks after letters: a run of them is one match of the pattern.
+_MARKS = ".,;:!?"
 #: The characters with the Unicode property White_Space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TWO_SPACES = re.compile(f"[{_SPACE}][{_SPACE}]")
@@ -81,6 +85,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Cache(dict):
+    """Text -> ids as bytes, with an estimate of the memory it takes."""
+
+    size = 0
+
+    def empty(self) -> None:
+        self.clear()
+        self.size = 0
+
+
 class Codec:
     """Ranks, their merge table in DuckDB, and bounded caches of encoded parts of texts."""
 
@@ -92,9 +106,7 @@ class Codec:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("pairs of ids are packed into 32 bits")
-        self.heads: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.merged: dict[bytes, bytes] = {}
+        self.heads, self.spaced, self.merged = Cache(), Cache(), Cache()
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
         pairs, merged = [], []
@@ -167,27 +179,44 @@ class Codec:
                 offer(before[i])
         return np.array([t for t, a in zip(ids, alive, strict=True) if a], "<i4").tobytes()
 
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        """Ids of each part, read with ``before`` in front."""
-        missing = parts.difference(known)
-        if len(known) + len(missing) > CACHED:
-            known.clear()
-            missing = parts
-        split = [(x, [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(before + x)]) for x in missing]
-        words = []
-        for piece in {p for _, pieces in split for p in pieces}.difference(self.merged):
-            rank = self.ranks.get(piece)
+    def _pieces(self, before: str, part: str) -> list[str]:
+        """Matches of the pattern; plain letters with marks after them need no pattern."""
+        letters = part.rstrip(_MARKS)
+        if letters.isascii() and letters.isalpha():
+            return [before + letters, part[len(letters) :]] if len(letters) < len(part) else [before + letters]
+        return self.pattern.findall(before + part)
+
+    def _merge(self, pieces: set[str]) -> None:
+        """Put the ids of new pieces into ``merged``."""
+        words, raws = [], []
+        for piece in pieces:
+            raw = piece.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(raw)
             if rank is not None:
                 self.merged[piece] = rank.to_bytes(4, "little")
-            elif len(piece) > LONG:
-                self.merged[piece] = self.merge_long(piece)
+            elif len(raw) > LONG:
+                self.merged[piece] = self.merge_long(raw)
             else:
                 words.append(piece)
-        self.merged.update(zip(words, self.merge_words(words), strict=True))
-        for part, pieces in split:
-            known[part] = b"".join([self.merged[p] for p in pieces])
-        if len(self.merged) > MERGED:
-            self.merged.clear()
+                raws.append(raw)
+        self.merged.update(zip(words, self.merge_words(raws), strict=True))
+
+    def _learn(self, known: Cache, parts: set[str], before: str) -> None:
+        """Ids of each part, read with ``before`` in front."""
+        # not set.difference: that would walk through all of the cache, as it is a subclass of dict
+        missing = [x for x in parts if x not in known]
+        if known.size > CACHED:
+            known.empty()
+            missing = list(parts)
+        if self.merged.size > MERGED:
+            self.merged.empty()
+        split = [self._pieces(before, x) for x in missing]
+        new = {p for pieces in split for p in pieces if p not in self.merged}
+        self._merge(new)
+        self.merged.size += sum(_ENTRY + 2 * len(p) for p in new)
+        merged = self.merged.__getitem__
+        known.update(zip(missing, (merged(p[0]) if len(p) == 1 else b"".join(map(merged, p)) for p in split), strict=True))
+        known.size += sum(_ENTRY + 3 * len(x) for x in missing)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.
