@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom.functions import actions as A
 from docloom.functions import fixed_values as V
 from docloom.functions import text as T
 from docloom.operators import batching as P
@@ -795,6 +797,25 @@ def split_actions(spark, sf):
     return X.split_actions(rows.withColumn("text", text)).select("doc_id", "block_no", "row_no", "task_text")
 
 
+@query(
+    "resolve_reference",
+    f"""WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, trim({_PLAIN_SQL}) AS x,
+        CASE line_no % 3 WHEN 0 THEN '' WHEN 1 THEN 'o alarme' ELSE 'a bomba $1' END AS entity FROM lines)
+    SELECT doc_id, line_no, CASE
+        WHEN line_no % 2 = 0 THEN 'Verificar que ' || CASE WHEN entity = '' THEN 'a mesma' ELSE entity END || ' ' || x
+        ELSE 'Bloquear ' || CASE WHEN entity = '' THEN '' ELSE entity || ' ' END || 'em ' || x END AS action
+    FROM p WHERE x <> ''""",
+)
+def resolve_reference(spark, sf):
+    x = F.trim(F.regexp_replace(F.regexp_replace("line", "[^a-zA-Z ]", ""), " +", " "))
+    n = F.col("line_no")
+    rows = lines(spark, sf).select("doc_id", "line_no", x.alias("x")).where("x <> ''").select(
+        "doc_id", "line_no", F.when(n % 3 == 0, "").when(n % 3 == 1, "o alarme").otherwise("a bomba $1").alias("entity"),
+        F.concat(F.when(n % 2 == 0, "Verificar que a mesma ").otherwise("Bloquear em "), F.col("x")).alias("action"),
+    )
+    return rows.select("doc_id", "line_no", A.resolve_reference(F.col("action"), F.col("entity")).alias("action"))
+
+
 @query(
     "needs_model",
     f"""WITH {_BLOCKS_SQL}, c AS (SELECT doc_id, block_no, CASE category WHEN 'prose' THEN 'geral' WHEN 'table_row' THEN 'atividade_anomalia'
@@ -843,6 +864,37 @@ def hierarchical_numbering(spark, sf):
     return H.number_documents(rows, 1).select("doc_id", "block_no", "hta")
 
 
+@query(
+    "annex_numbers",
+    """
+    WITH RECURSIVE e AS (
+      SELECT o_custkey AS doc_id, CAST(nth AS INTEGER) AS pos, nth, g, CASE WHEN o_custkey % 3 = 0 THEN '1.2' WHEN g = 0 THEN '1' ELSE '1.' || o_custkey % 2 + 1 END AS prefix,
+             CASE k % 5 WHEN 0 THEN CAST(k % 4 + 1 AS VARCHAR) WHEN 1 THEN '2.' || k % 3 + 1 WHEN 2 THEN 'x' ELSE '' END AS suffix
+      FROM (SELECT o_custkey, o_orderkey * 7 % 101 AS k, o_orderkey // 3 % 2 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders)),
+    steps AS (
+      SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS INTEGER) AS pos, [CAST(0 AS BIGINT), 0] AS counts, CAST([] AS VARCHAR[]) AS given, '' AS rel FROM e
+      UNION ALL
+      SELECT doc_id, nth, pos, CASE WHEN g = 0 THEN [n, counts[2]] ELSE [counts[1], n] END, list_append(given, rel), rel FROM (
+        SELECT *, CASE WHEN hit THEN prefix || '.' || n || '.' ELSE text END AS rel FROM (
+          SELECT *, base + CASE WHEN hit THEN 1 ELSE 0 END AS n FROM (
+            SELECT s.doc_id, e.nth, e.pos, s.counts, s.given, e.g, e.prefix, e.prefix || '.' || e.suffix || '.' AS text,
+                   e.suffix = '' OR list_contains(s.given, e.prefix || '.' || e.suffix || '.') AS hit,
+                   greatest(s.counts[e.g + 1], coalesce(TRY_CAST(regexp_extract(e.suffix, '^([0-9]+)([.]|$)', 1) AS BIGINT), 0)) AS base
+            FROM steps s JOIN e ON e.doc_id = s.doc_id AND e.nth = s.nth + 1))))
+    SELECT doc_id, pos, rel FROM steps WHERE nth > 0""",
+)
+def annex_numbers(spark, sf):
+    """Orders as annex actions of customers: written numbers stand, the others take the next count of their group."""
+    text = lambda c: c.cast("string")
+    customer, k, g = F.col("o_custkey"), F.col("o_orderkey") * 7 % 101, F.floor(F.col("o_orderkey") / 3) % 2
+    entries = table(spark, sf, "orders").select(
+        customer.alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"), text(g).alias("group"),
+        F.when(customer % 3 == 0, "1.2").when(g == 0, "1").otherwise(F.concat(F.lit("1."), text(customer % 2 + 1))).alias("prefix"),
+        F.when(k % 5 == 0, text(k % 4 + 1)).when(k % 5 == 1, F.concat(F.lit("2."), text(k % 3 + 1))).when(k % 5 == 2, "x").otherwise("").alias("suffix"),
+    )
+    return H.relative_numbers(entries)
+
+
 @query(
     "cross_document_offset",
     """

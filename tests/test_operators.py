@@ -305,11 +305,10 @@ def test_folding_is_complete(spark):
         assert r.m == plain("NFD", r.x).upper()
 
 
-def test_annex_numbers_that_meet():
-    import pandas as pd
-
+def test_annex_numbers_that_meet(spark):
     def numbered(*rows):
-        return hierarchy.relative_numbers(pd.DataFrame(rows, columns=["group", "prefix", "suffix"])).tolist()
+        entries = spark.createDataFrame([(1, n, *r) for n, r in enumerate(rows, 1)], ANNEX_ENTRY)
+        return [r.rel for r in hierarchy.relative_numbers(entries).orderBy("pos").collect()]
 
     # counts go on from the greatest lead written so far
     assert numbered(("a", "1", ""), ("a", "1", "5"), ("a", "1", ""), ("a", "1", "5.2")) == ["1.1.", "1.5.", "1.6.", "1.5.2."]
@@ -317,3 +316,36 @@ def test_annex_numbers_that_meet():
     assert numbered(("a", "1", "2"), ("a", "1", "2"), ("a", "1", "3"), ("a", "1", "x")) == ["1.2.", "1.3.", "1.4.", "1.x."]
     # groups count apart but share the numbers of their prefix
     assert numbered(("a", "1", ""), ("b", "1", "1"), ("b", "1", "")) == ["1.1.", "1.2.", "1.3."]
+
+
+ANNEX_ENTRY = "doc_id long, pos int, group string, prefix string, suffix string"
+
+
+def one_after_another(rows):
+    """Numbers of one document's annex actions, read in order."""
+    given, counts, out = set(), {}, []
+    for group, prefix, suffix in rows:
+        head = suffix.split(".")[0]
+        count = max(counts.get(group, 0), int(head) if head.isdigit() else 0)
+        text = f"{prefix}.{suffix}."
+        if not suffix or text in given:
+            count += 1
+            text = f"{prefix}.{count}."
+        counts[group] = count
+        given.add(text)
+        out.append(text)
+    return out
+
+
+def test_annex_numbers_in_order(spark):
+    import random
+
+    rnd, rows, want = random.Random(3), [], {}
+    for doc in range(150):
+        prefix = {g: rnd.choice(["1", "2", "1.2", "1.1"]) for g in "abc"}
+        own = [(g, prefix[g], rnd.choice(["", "", "", str(rnd.randint(1, 9)), "2.3", "07", "x"])) for g in rnd.choices("abc", k=rnd.randint(1, 25))]
+        rows += [(doc, n, *r) for n, r in enumerate(own, 1)]
+        want |= {(doc, n): t for n, t in enumerate(one_after_another(own), 1)}
+    found = hierarchy.relative_numbers(spark.createDataFrame(rows, ANNEX_ENTRY)).collect()
+    assert {(r.doc_id, r.pos): r.rel for r in found} == want and len(found) == len(rows)
+    assert hierarchy.relative_numbers(spark.createDataFrame([], ANNEX_ENTRY)).count() == 0
