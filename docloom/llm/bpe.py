@@ -19,7 +19,9 @@ Tasks hold one slice of texts (``SLICE_CHARS``, or one longer text) and the boun
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
+import gc
 import heapq
 import re
 from collections.abc import Iterator
@@ -85,6 +87,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@contextlib.contextmanager
+def _no_collection() -> Iterator[None]:
+    """A slice makes very many lists and no cycles: searching for cycles would only walk the caches again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Cache(dict):
     """Text -> ids as bytes, with an estimate of the memory it takes."""
 
@@ -238,7 +252,7 @@ class Codec:
             return [b""] * len(ids)
         found = self._query(_JOIN, "tokens", {
             "d": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), sizes)),
-            "p": pa.array(np.arange(sizes.sum())), "id": pa.array(np.concatenate(ids).astype(np.int32)),
+            "p": pa.array(np.arange(sizes.sum(), dtype=np.int32)), "id": pa.array(np.concatenate(ids).astype(np.int32)),
         })
         out = [b""] * len(ids)
         for d, text in zip(found.column("d").to_pylist(), found.column("text").to_pylist(), strict=True):
@@ -269,7 +283,8 @@ def _encode(path: str, pattern: str):
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in _slices([len(t) for t in texts], SLICE_CHARS):
-                ids = own.encode(texts[a:b])
+                with _no_collection():
+                    ids = own.encode(texts[a:b])
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
