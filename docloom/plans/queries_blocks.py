@@ -96,7 +96,7 @@ def segment_blocks(spark, sf):
 @query("merge_fragments")
 def merge_fragments(spark, sf):
     blocks = S.segment_blocks(L.clean_text_lines(manuals(spark, sf)))
-    return S.merge_fragments(blocks).select("doc_id", "block_no", F.size("lines").alias("n_lines"))
+    return S.merge_fragments(blocks).select("doc_id", "block_no", F.array_join("lines", "\n").alias("text"))
 
 
 def _line_blocks(spark, sf):

@@ -16,6 +16,7 @@ from docloom.operators import reconcile as M
 from docloom.operators import rowgen as X
 from docloom.operators import rules as R
 from docloom.operators import status as G
+from docloom.plans import matrix as plan
 from docloom.plans.corpus import LINES_SQL, documents, key_sql, line_blocks, lines, table
 from docloom.sources import rulebook, sinks
 
@@ -603,6 +604,25 @@ def debug_summary(spark, sf):
     return O.debug_summary(labelled_blocks(spark, sf))
 
 
+@query(
+    "debug_blocks",
+    f"""WITH {_BATCH_SQL},
+    hits AS (SELECT doc_id, batch_no, rule_id, name, coalesce(example_in, '') <> '' OR coalesce(example_out, '') <> '' AS example,
+                    min(block_no * 1000 + rule_rank) AS first_at
+             FROM batched b JOIN ranked r ON r.b_scope = b.scope AND r.b_category = b.category GROUP BY ALL),
+    given AS (SELECT doc_id, batch_no, list(name ORDER BY first_at) AS rules, count(*) FILTER (WHERE example) AS n_examples FROM hits GROUP BY ALL)
+    SELECT doc_id, batch_no, block_no, category, scope, coalesce(rules, []) AS rules, coalesce(n_examples, 0) AS n_examples
+    FROM batched LEFT JOIN given USING (doc_id, batch_no) WHERE doc_id % 4 < 2 OR batch_no <> 1""",
+)
+def debug_blocks(spark, sf):
+    """Rules and examples per block; a document's first batch is left out where its response is wrong."""
+    rules = rule_table(spark)
+    packed = _eights(labelled_blocks(spark, sf))
+    found = R.rules_per_batch(packed, rules)
+    errors = M.parse_responses(_responses(spark, sf))[1]
+    return O.debug_blocks(packed, found, R.examples_per_batch(found, rules), errors)
+
+
 @query(
     "failure_report",
     f"""WITH RECURSIVE {_PACK_SQL}
@@ -617,6 +637,26 @@ def failure_report(spark, sf):
     return O.failure_report(packed, errors).select("doc_id", "batch_no", "block_nos", "error")
 
 
+@query(
+    "coverage_failures",
+    f"""WITH RECURSIVE {_PACK_SQL},
+    told AS (SELECT packed.doc_id, batch_no, block_no, regexp_matches(line, '[0-9|]') AS silent
+             FROM packed JOIN lines ON lines.doc_id = packed.doc_id AND lines.line_no = packed.block_no)
+    SELECT doc_id, batch_no, list(block_no ORDER BY block_no) AS block_nos,
+           'uncovered_blocks: ' || string_agg(CAST(block_no AS VARCHAR), ', ' ORDER BY block_no) FILTER (WHERE silent) AS error
+    FROM told
+    GROUP BY doc_id, batch_no HAVING bool_or(silent)""",
+)
+def coverage_failures(spark, sf):
+    """Batches that fail because lines with digits or bars got no row."""
+    packed = P.pack_batches(line_blocks(spark, sf)).select(
+        "doc_id", F.lit("f").alias("filename"), F.col("doc_id").alias("doc_order"), "batch_no", "block_no", "text"
+    )
+    answered = packed.where(~F.col("text").rlike("[0-9|]"))
+    report = O.failure_report(packed.drop("text"), plan.coverage_errors(packed, answered))
+    return report.select("doc_id", "batch_no", "block_nos", "error")
+
+
 @query(
     "run_outcome",
     f"""WITH RECURSIVE {_PACK_SQL}

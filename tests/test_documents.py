@@ -5,6 +5,7 @@ import pytest
 from docloom.operators import hierarchy, rowgen
 from docloom.plans import matrix
 from docloom.plans.staging import write_stage
+from docloom.sources import markup
 
 CASES = {
     "oven": ("", "INTERNA\nPágina 3 de 9\n1. OBJETIVO\nManter o forno limpo.\n\nCOMO FAZER\nEscovar a grelha fria.\nAprovado por: gerência\n_"),
@@ -142,3 +143,18 @@ def test_flowchart_file(result):
 def test_every_block_has_rows(result):
     for blocks, rows in result.values():
         assert {b.block_no for b in blocks} == {r.block_no for r in rows}
+
+
+def test_page_references_and_rejected_pages(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "<p>caf&eacute; &#8217;&#x1F600;&nbsp;&amp;lt; &unknown; &amp &#0;&#xD800;&#9999999;</p>"), (2, None), (3, " \n\t"),
+            (4, "<html><head><title>x</title></head><body><!-- y --><p>&nbsp;&#9;&#7;</p></body></html>"), (5, ""),
+            (6, "a&#10;b<br>&&lt;c&gt;&AMP;"),
+        ],
+        "page_id long, html string",
+    )
+    lines = {(r.page_id, r.line_no): r.line for r in markup.page_text_extract(pages).collect()}
+    assert lines == {(1, 1): "café ’\U0001f600 &lt; &unknown; &amp ���", (6, 1): "a b", (6, 2): "&<c>&AMP;"}
+    rejected = {r.page_id: r.reason for r in markup.page_text_rejected(pages).collect()}
+    assert rejected == {2: "no_content", 3: "no_content", 4: "no_text", 5: "no_content"}
