@@ -33,6 +33,7 @@ from docloom.llm.common import stage, stage_path
 
 REVISIT_BYTES = 100
 RANGE_BYTES = 8 << 20
+MAX_TASKS = 100_000  # beyond it a task reads several ranges
 _BLOCK = 1 << 18
 _MAGIC = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
@@ -252,8 +253,9 @@ def read_archives(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES)
     ranges = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("start")).select(
         "path", "size", F.col("start").cast("long").alias("start"), F.least(F.col("start") + range_bytes, "size").cast("long").alias("stop")
     )
-    # one task a range or a few: the rows are tiny, the work is not
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(_read(folder), _RECORDS)
+    # the rows are tiny, the work is not: a stated number of tasks, which adaptive execution leaves alone
+    count = files.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(count), MAX_TASKS)).mapInArrow(_read(folder), _RECORDS)
 
 
 def owned(records: DataFrame) -> DataFrame:
@@ -265,18 +267,24 @@ def owned(records: DataFrame) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Length and digest of every record's full payload: a revisit takes them from the response it names."""
-    wholes = records.where("record_type = 'response' and id is not null").groupBy(F.col("id").alias("refers_to")).agg(
-        F.min(F.struct("digest", "length")).alias("whole")
-    )
+    """Length and digest of every record's full payload: a revisit takes them from the response it names.
+
+    Where several responses bear that id, the one with the revisit's digest is meant.  A revisit
+    whose response is not among the records has neither.
+    """
+    wholes = records.where("record_type = 'response' and id is not null").groupBy(
+        F.col("id").alias("refers_to"), F.col("digest").alias("named")
+    ).agg(F.struct(F.first("digest").alias("digest"), F.first("length").alias("length")).alias("whole"))
     own = records.where("record_type = 'response'").select("id", "length", "digest", "record_type", "refers_to")
-    again = records.where("record_type = 'revisit'").select("id", "record_type", "refers_to").join(wholes, "refers_to", "left").select(
+    again = records.where("record_type = 'revisit'").select(
+        "id", "record_type", "refers_to", F.col("digest").alias("named")
+    ).join(wholes, ["refers_to", "named"], "left").select(
         "id", F.col("whole.length").alias("length"), F.col("whole.digest").alias("digest"), "record_type", "refers_to"
     )
     return own.unionByName(again)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write (id, url, payload) rows and read all records back from the archives."""
+    """Write (id, url, payload) rows and read all records back from the archives, each decoded once."""
     folder, files = write_archives(pages)
-    return stage(owned(read_archives(files, folder)), "warc-records")
+    return owned(stage(read_archives(files, folder), "warc-records"))

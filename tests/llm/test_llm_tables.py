@@ -123,6 +123,27 @@ def test_archives_are_read_whole(spark, tmp_path, range_bytes):
     records.unpersist()
 
 
+def test_one_id_with_two_payloads(spark):
+    one, other = b"a" * 200, b"b" * 300
+    pages = spark.createDataFrame(
+        [(1, "u", one), (1, "u", other), (2, "u", one), (3, "u", other), (3, "u", other)], "id long, url string, payload binary"
+    )
+    found = sorted(
+        (r.id, r.length, r.digest, r.record_type, r.refers_to) for r in warc.resolved(warc.archive_and_read(spark, pages)).collect()
+    )
+    a, b = (hashlib.sha256(x).hexdigest() for x in (one, other))
+    assert found == sorted(
+        [(1, 200, a, "response", None), (1, 300, b, "response", None), (2, 200, a, "revisit", 1)] + [(3, 300, b, "revisit", 1)] * 2
+    )
+
+
+def test_a_revisit_without_its_response(spark):
+    records = spark.createDataFrame(
+        [(5, 9, "d", "revisit", 4, 10)], "id long, refers_to long, digest string, record_type string, length long, offset long"
+    )
+    assert [tuple(r) for r in warc.resolved(records).select("id", "length", "digest", "refers_to").collect()] == [(5, None, None, 9)]
+
+
 def test_damaged_members_are_skipped():
     good = [warc.page_record(str(k), "u", b"body %d" % k * 50, "d", 0, None) for k in range(5)]
     bad = bytearray(b"".join(good))
