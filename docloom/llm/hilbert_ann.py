@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import stage
-from docloom.llm.vectors import apart, best_per_query, every_part, matrix, ordered_best, part_of
+from docloom.llm.vectors import MOST_TASKS, apart, best_per_query, every_part, matrix, ordered_best, part_of
 
 CURVES = 8
 AXES = 8
@@ -178,29 +178,34 @@ def nearest_neighbours(
         F.array_distinct(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20_000)).alias("cuts")
     )
     placed = stage(
-        placed.join(cuts, ["dim", "curve"]).select(
+        placed.join(F.broadcast(cuts), ["dim", "curve"]).select(
             "dim", "curve", "vec_id", "asks", F.size(F.filter("cuts", lambda c: c <= F.col("key"))).alias("range")
         ),
         "curves-ranges",
     )
     counts = placed.groupBy("dim", "curve", "range").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     asking = placed.where("asks").groupBy("dim").agg(F.ceil(F.count_distinct("vec_id") / QUERY_BLOCK).alias("blocks"))
+    # at most curves * ranges rows a vector length
+    groups = F.broadcast(counts.join(F.broadcast(asking), "dim"))
+    tasks = min(int(groups.agg(F.sum(F.col("parts") * F.col("blocks"))).first()[0] or 1), MOST_TASKS)
     spots = ["dim", "curve", "range"]
     vectors = keyed.select("dim", "vec_id", "v")
     left = (
-        placed.join(counts, spots).join(asking, "dim")
+        placed.join(groups, spots)
         .select(*spots, part_of("vec_id", F.col("parts"), 1).alias("part"), every_part(F.col("blocks")).alias("block"), "vec_id")
         .join(vectors, ["dim", "vec_id"])
     )
     right = (
         placed.where("asks")
         .select("dim", "curve", "vec_id", F.explode(F.sequence(F.col("range") - reach, F.col("range") + reach)).alias("range"))
-        .join(counts, spots).join(asking, "dim")
+        .join(groups, spots)
         .select(*spots, every_part(F.col("parts")).alias("part"), part_of("vec_id", F.col("blocks"), 2).alias("block"), "vec_id")
         .join(vectors, ["dim", "vec_id"])
     )
     keys = [*spots, "part", "block"]
-    found = left.groupBy(*keys).cogroup(apart(right).groupBy(*[f"q_{c}" for c in keys])).applyInArrow(
+    asked = [f"q_{c}" for c in keys]
+    # a stated number of partitions: groups of few bytes and much work would else end up in one task
+    found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(apart(right).repartition(tasks, *asked).groupBy(*asked)).applyInArrow(
         _nearest(k), "query_id long, vec_id long, score double"
     )
     return best_per_query(found, k, largest=False)

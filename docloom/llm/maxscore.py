@@ -22,9 +22,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docloom.llm.vectors import apart, best_per_query, every_part, matrix, ordered_best, part_of
+from docloom.llm.vectors import best_per_query, matrix, ordered_best, paired
 
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4_096
@@ -111,17 +110,9 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame
     returned.  Rows that repeat an id with another vector count with their best score.  Sums are
     exact while they fit 64 bits.  An empty side gives no rows.
     """
-    shards = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
-    blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
-    parts = shards.join(blocks, "dim")
-    left = rows.join(parts, "dim").select(
-        "dim", part_of("vec_id", F.col("shards"), 1).alias("shard"), every_part(F.col("blocks")).alias("block"), "vec_id", "v"
-    )
-    right = queries.join(parts, "dim").select(
-        "dim", every_part(F.col("shards")).alias("shard"), part_of("vec_id", F.col("blocks"), 2).alias("block"), "vec_id", "v"
-    )
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(apart(right).groupBy(*[f"q_{c}" for c in keys])).applyInArrow(
+    left, right = paired(rows, queries, SHARD_ROWS, QUERY_BLOCK)
+    keys = ["dim", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"q_{c}" for c in keys])).applyInArrow(
         _search(k), "query_id long, vec_id long, score long"
     )
     return best_per_query(found, k, largest=True)

@@ -44,7 +44,7 @@ def apart(frame: DataFrame) -> DataFrame:
 #: a part smaller than this is not worth a task of its own
 _LEAST_ROWS = 1_024
 #: more groups than this share tasks
-_MOST_TASKS = 50_000
+MOST_TASKS = 50_000
 
 
 def paired(rows: DataFrame, queries: DataFrame, part_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ def paired(rows: DataFrame, queries: DataFrame, part_rows: int, block_rows: int)
         (dim, max(math.ceil(here[dim] / part_rows), min(busy, math.ceil(here[dim] / _LEAST_ROWS))), math.ceil(asked[dim] / block_rows))
         for dim in here.keys() & asked.keys()
     ]
-    groups = min(max(1, sum(p * b for _, p, b in cuts)), _MOST_TASKS)
+    groups = min(max(1, sum(p * b for _, p, b in cuts)), MOST_TASKS)
     sizes = F.broadcast(spark.createDataFrame(cuts, "dim int, parts long, blocks long"))
     left = rows.join(sizes, "dim").withColumns(
         {"part": part_of("vec_id", F.col("parts"), 1), "block": every_part(F.col("blocks"))}
