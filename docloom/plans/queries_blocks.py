@@ -93,7 +93,45 @@ def segment_blocks(spark, sf):
     return S.segment_blocks(L.clean_text_lines(manual_documents(spark, sf).select("doc_id", "text")))
 
 
-@query("merge_fragments")
+#: the group's opening block sets the rule, so its kind, size and marker travel along a recursion over the blocks
+_MERGE_SQL = f"""{_SEGMENT_SQL},
+    ends AS (SELECT *, lines[1] AS line, lines[-1] AS l FROM blocks),
+    seen AS (
+      SELECT doc_id, block_no, lines, line,
+             list_sum(list_transform(lines, lambda x: length(x) + 1)) AS size, left(line, 1) AS marker,
+             regexp_matches(line, '{V.LIST_ITEM}') AS listed, regexp_matches(line, '{V.SECTION}') AS section, {_TITLE_SQL} AS title,
+             len(list_filter(lines, lambda x: NOT regexp_matches(x, '{V.NUMBERED_LIST_ITEM}'))) = 0 AS numbered,
+             regexp_matches(line, '(?i){V.TECHNICAL_GROUP.replace("'", "''")}') AS technical, regexp_matches(line, '(?i){V.TECHNICAL_PARAMETER}') AS parameter,
+             regexp_matches(line, '(?i){V.TABLE_TITLE}') AS tabled, regexp_matches(line, '^\\p{{Ll}}') AS low,
+             regexp_matches(upper(line), '^(?:PSIG |KGF/|CM2 )') AS unit, lag(l) OVER (PARTITION BY doc_id ORDER BY block_no) AS p
+      FROM ends),
+    told AS MATERIALIZED (
+      SELECT *, listed AND NOT section AND NOT title AS visual, listed AND NOT section AS list_item,
+             CASE WHEN listed AND NOT section AND NOT title AND contains(line, '...') THEN 1 WHEN numbered THEN 2
+                  WHEN listed AND NOT section AND NOT title THEN 3 WHEN technical THEN 4 ELSE 5 END AS kind,
+             p = '' OR section OR line = '' AS closed, regexp_matches(lower(p), ' (?:na|no|à|ao|pela|pelo)$') AS p_prep,
+             regexp_matches(lower(p), ' (?:e|ou)$') AS p_and, regexp_matches(p, '(?i){V.IMPERATIVE_CUE}') AS p_action,
+             right(p, 1) = '-' OR (right(p, 1) IN (',', ';') AND low)
+               OR ((low OR unit) AND (right(p, 1) IN (',', ';', ':') OR regexp_matches(lower(p), ' (?:e|ou)$') OR right(p, 1) NOT IN ('.', '!', '?'))) AS runs_on,
+             NOT listed AND right(p, 1) NOT IN ('.', '!', '?', ';') AS item_runs_on
+      FROM seen),
+    fold AS (
+      SELECT doc_id, block_no, 1 AS grp, kind, CAST(size AS BIGINT) AS total, marker, title AS t0, list_item AS l0 FROM told WHERE block_no = 1
+      UNION ALL
+      SELECT doc_id, block_no, CASE WHEN joins THEN g ELSE g + 1 END, CASE WHEN joins THEN k ELSE kind END,
+             CAST(CASE WHEN joins THEN total + size ELSE size END AS BIGINT), CASE WHEN joins THEN m ELSE marker END,
+             CASE WHEN joins THEN t0 ELSE title END, CASE WHEN joins THEN l0 ELSE list_item END
+      FROM (SELECT *, CASE k WHEN 1 THEN kind = 1 AND fits WHEN 2 THEN numbered WHEN 3 THEN visual AND marker = m AND fits
+                             WHEN 4 THEN NOT technical AND (parameter OR continues) ELSE continues END AS joins
+            FROM (SELECT d.*, f.grp AS g, f.kind AS k, f.total, f.marker AS m, f.t0, f.l0, f.total + d.size <= {V.LIST_CHARS} AS fits,
+                         NOT closed AND CASE WHEN tabled THEN p_prep
+                           ELSE (NOT f.t0 OR p_action OR p_and) AND (runs_on OR (f.l0 AND item_runs_on)) END AS continues
+                  FROM fold f JOIN told d ON d.doc_id = f.doc_id AND d.block_no = f.block_no + 1))),
+    merged AS (SELECT doc_id, CAST(grp AS INTEGER) AS block_no, flatten(list(b.lines ORDER BY b.block_no)) AS lines
+               FROM fold f JOIN blocks b USING (doc_id, block_no) GROUP BY doc_id, grp)"""
+
+
+@query("merge_fragments", f"WITH RECURSIVE {_MERGE_SQL} SELECT doc_id, block_no, array_to_string(lines, chr(10)) AS text FROM merged")
 def merge_fragments(spark, sf):
     blocks = S.segment_blocks(L.clean_text_lines(manuals(spark, sf)))
     return S.merge_fragments(blocks).select("doc_id", "block_no", F.array_join("lines", "\n").alias("text"))

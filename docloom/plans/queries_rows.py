@@ -935,6 +935,35 @@ def annex_numbers(spark, sf):
     return H.relative_numbers(entries)
 
 
+@query(
+    "standalone_paths",
+    """
+    WITH e AS (
+      SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS pos, o_custkey % 5 > 0 AND k % 4 < 3 AS member,
+             CASE k % 6 WHEN 1 THEN '1' WHEN 2 THEN '1.' || k % 3 WHEN 3 THEN '1.2.' || k % 4 WHEN 4 THEN '2.1.3.' || k % 2 WHEN 5 THEN '3' ELSE '' END AS g
+      FROM (SELECT o_custkey, o_orderkey, o_orderkey * 7 % 101 AS k FROM orders)),
+    m AS (SELECT doc_id, pos, g, regexp_extract(g, '^[^.]*(?:[.][^.]*)?') AS sup FROM e WHERE member AND g <> ''),
+    sups AS (SELECT doc_id, sup, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS a FROM m GROUP BY doc_id, sup),
+    subs AS (SELECT doc_id, sup, g, row_number() OVER (PARTITION BY doc_id, sup ORDER BY min(pos)) AS b FROM m WHERE g <> sup GROUP BY doc_id, sup, g),
+    nths AS (SELECT x.doc_id, x.pos, count(*) AS n FROM m x JOIN m y ON y.doc_id = x.doc_id AND y.g = x.g AND y.pos <= x.pos GROUP BY x.doc_id, x.pos)
+    SELECT e.doc_id, e.pos, a || '.' || coalesce(b || '.', '') || n || '.' AS path
+    FROM e LEFT JOIN m USING (doc_id, pos) LEFT JOIN sups ON sups.doc_id = m.doc_id AND sups.sup = m.sup
+    LEFT JOIN subs ON subs.doc_id = m.doc_id AND subs.sup = m.sup AND subs.g = m.g LEFT JOIN nths ON nths.doc_id = m.doc_id AND nths.pos = m.pos""",
+)
+def standalone_paths(spark, sf):
+    """Orders as rows of annex files of customers: two-level groups, subgroups and actions by first appearance."""
+    text = lambda c: c.cast("string")
+    customer, k = F.col("o_custkey"), F.col("o_orderkey") * 7 % 101
+    dotted = lambda lead, c: F.concat(F.lit(lead), text(c))
+    base = table(spark, sf, "orders").select(
+        customer.alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"),
+        (k % 4 < 3).alias("_exec"), (customer % 5 > 0).alias("b_standalone"),
+        F.when(k % 6 == 1, "1").when(k % 6 == 2, dotted("1.", k % 3)).when(k % 6 == 3, dotted("1.2.", k % 4))
+        .when(k % 6 == 4, dotted("2.1.3.", k % 2)).when(k % 6 == 5, "3").otherwise("").alias("_group"),
+    )
+    return H.standalone_annex_numbering(base).select("doc_id", "pos", F.col("f_rel").alias("path"))
+
+
 @query(
     "cross_document_offset",
     """
