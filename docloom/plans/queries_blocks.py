@@ -363,6 +363,67 @@ def carry_section(spark, sf):
     return B.carry_section(owned).select("doc_id", "block_no", "section_before", "section_ctx")
 
 
+@query(
+    "section_in_force",
+    f"""
+    WITH RECURSIVE src AS (
+      SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS block_no, o_orderkey * 7 % 101 AS k,
+             o_custkey % 3 = 0 AS standalone, o_custkey % 7 = 1 AS flowchart FROM orders),
+    b AS (
+      SELECT doc_id, block_no, standalone, k % 3 = 0 AS shaped, k % 13 = 0 AS instruction, k % 11 = 0 AS remission, k % 6 = 0 AS has_children, k * 2 AS size,
+             k % 17 > 0 AND k % 19 > 0 AS unmarked, k % 8 = 0 AS explicit, k % 4 = 1 AS cue, k % 9 = 0 AS op_heading, k % 10 < 3 AND k % 2 = 0 AS triggers,
+             k % 12 = 5 AS negative, flowchart, k % 4 = 2 AS note, k % 4 < 2 AS listing,
+             CASE k % 5 WHEN 0 THEN 'subsecao_numerada' WHEN 1 THEN 'recursos_necessarios' WHEN 2 THEN 'geral' WHEN 3 THEN 'itens_criticos' ELSE 'item_numerado_anexo' END AS c0,
+             CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '1.1' WHEN 3 THEN '1.1.' || (k % 2 + 1) WHEN 4 THEN '2' WHEN 5 THEN '2.' || k % 3 ELSE '3.4' END AS item
+      FROM src),
+    c1 AS (SELECT *, explicit OR (item <> '' AND NOT shaped AND cue) AS action,
+                  CASE WHEN (explicit OR (item <> '' AND NOT shaped AND cue)) AND NOT op_heading AND c0 <> 'recursos_necessarios' THEN 'instrucao_operacional' ELSE c0 END AS c FROM b),
+    c2 AS (SELECT * REPLACE (CASE WHEN negative THEN 'geral' WHEN standalone AND triggers THEN 'instrucao_operacional'
+                                  WHEN standalone AND unmarked AND item IN ('1', '2') THEN 'subsecao_numerada' WHEN standalone AND remission THEN 'geral'
+                                  WHEN standalone AND c = 'item_numerado_anexo' THEN CASE WHEN action THEN 'instrucao_operacional' ELSE 'subsecao_numerada' END
+                                  ELSE c END AS c),
+                  flowchart AND NOT negative AND NOT ((action AND NOT (standalone AND remission)) OR (standalone AND triggers)) AND NOT note AS idle FROM c1),
+    told AS MATERIALIZED (
+      SELECT doc_id, block_no, item, listing, size,
+             unmarked AND item <> '' AND ((shaped AND NOT instruction AND c <> 'item_numerado_anexo' AND NOT remission) OR has_children) AS firm, standalone,
+             unmarked AND item <> '' AND ((sub AND (size <= {V.TITLE_CHARS} OR (standalone AND size <= {V.ANNEX_TITLE_CHARS}))) OR c IN ('recursos_necessarios', 'itens_criticos')) AS soft, sub,
+             standalone AND unmarked AND item <> '' AND len(string_split(item, '.')) > 2 AND NOT (explicit OR (NOT shaped AND cue)) AS detail
+      FROM (SELECT *, c = 'subsecao_numerada' AND NOT idle AS sub FROM c2)),
+    walk AS (
+      SELECT doc_id, 0 AS block_no, '' AS was, '' AS section, false AS in_list FROM told WHERE block_no = 1
+      UNION ALL
+      SELECT doc_id, block_no, section, CASE WHEN takes THEN item ELSE section END, CASE WHEN takes THEN listing ELSE in_list END
+      FROM (SELECT t.*, w.section, w.in_list,
+                   firm OR (soft AND NOT ((sub AND w.in_list AND w.section <> '' AND starts_with(t.item, w.section || '.')) OR (detail AND w.section = '1.1'))) AS takes
+            FROM walk w JOIN told t ON t.doc_id = w.doc_id AND t.block_no = w.block_no + 1))
+    SELECT doc_id, block_no, was AS section_before, section AS section_ctx FROM walk WHERE block_no > 0""",
+)
+def section_in_force(spark, sf):
+    """Orders as described blocks of customers: the section in force before and after each."""
+    text = lambda c: c.cast("string")
+    customer, k = F.col("o_custkey"), F.col("o_orderkey") * 7 % 101
+    choice = lambda by, *values: F.coalesce(*[F.when(by == i, v) for i, v in enumerate(values)])
+    marked = (k % 19 == 0) | (k % 17 == 0)
+    item = choice(
+        k % 7, F.lit(""), F.lit("1."), F.lit("1.1"), F.concat(F.lit("1.1."), text(k % 2 + 1)), F.lit("2"),
+        F.concat(F.lit("2."), text(k % 3)), F.lit("3.4."),
+    )
+    flags = {
+        "standalone": customer % 3 == 0, "flowchart": customer % 7 == 1, "has_children": k % 6 == 0, "_title_shape": k % 3 == 0,
+        "_instruction": k % 13 == 0, "_remission": k % 11 == 0, "_explicit": k % 8 == 0, "_cue": k % 4 == 1, "_op_heading": k % 9 == 0,
+        "_conditional": k % 10 < 3, "_imperative": k % 2 == 0, "_negative": k % 12 == 5,
+    }
+    blocks = table(spark, sf, "orders").select(
+        customer.alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("block_no"),
+        choice(k % 5, *map(F.lit, ("subsecao_numerada", "recursos_necessarios", "geral", "itens_criticos", "item_numerado_anexo"))).alias("category"),
+        item.alias("_own_item"), F.when(marked, "").otherwise(item).alias("item_source"),
+        F.when(k % 19 == 0, "a").otherwise("").alias("_letter"), F.when(k % 17 == 0, "3").otherwise("").alias("_step"),
+        choice(k % 4, *map(F.lit, ("RECURSOS NECESSARIOS", "ITENS CRITICOS", "OBS", "OUTRA"))).alias("_key"),
+        F.repeat(F.lit("x"), (k * 2).cast("int")).alias("text"), *[c.alias(n) for n, c in flags.items()],
+    )
+    return B.carry_section(blocks).select("doc_id", "block_no", "section_before", "section_ctx")
+
+
 @query("classify_blocks")
 def classify_blocks(spark, sf):
     return plan.document_blocks(manual_documents(spark, sf)).select(
