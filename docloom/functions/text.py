@@ -27,8 +27,11 @@ def cs(pattern: str) -> str:
 
 
 _RUN = cs(f"{V.WS}+")
+# V.WS_CHARS without the blank; the wide range is tested first, so other characters fail after one comparison
+_WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+_ODD = rf"\t-\r\x1c-\x1f\x85\u00a0{_WIDE}"
 # single blanks need no replacement, so only longer runs and other whitespace match
-_LONG_RUN = f"[{V.WS_CHARS}]{{2,}}|[{V.WS_CHARS[1:]}]"
+_LONG_RUN = f" [ {_ODD}]+|[{_ODD}][ {_ODD}]*"
 
 
 def let(col: Column, body) -> Column:

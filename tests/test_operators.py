@@ -349,3 +349,12 @@ def test_annex_numbers_in_order(spark):
     found = hierarchy.relative_numbers(spark.createDataFrame(rows, ANNEX_ENTRY)).collect()
     assert {(r.doc_id, r.pos): r.rel for r in found} == want and len(found) == len(rows)
     assert hierarchy.relative_numbers(spark.createDataFrame([], ANNEX_ENTRY)).count() == 0
+
+
+def test_squeeze_treats_every_whitespace_character_alike(spark):
+    rows = [(f"a{c}b{c}{c}d {c}", "a b d") for c in V.WS_CHARS] + [("  a  b ", "a b"), ("a b", "a b"), ("", ""), (None, None)]
+    rows += [(f"a{c}b", f"a{c}b") for c in "\x1b\x7fᙿᚁ᠎​‧‪‰⿿、﻿"]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, text string, want string").select(
+        "k", T.squeeze(F.col("text")).alias("got"), "want"
+    )
+    assert [r.k for r in got.where("not (got <=> want)").collect()] == []
