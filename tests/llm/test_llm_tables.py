@@ -266,6 +266,26 @@ def test_held_out_accuracy(spark):
     assert np.array_equal(model.vectors, again.vectors) and np.array_equal(model.labels, again.labels)
 
 
+def test_votes_against_brute_force(spark):
+    """Every text's vote recomputed pair by pair from the fitted vectors, in double precision."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model, got = quality.train(docs, labels), {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    known, memo, told = model.vectors.astype(float), quality._Codes(), 0
+    for r in docs.select("doc_id", "text").collect():
+        v = model.vector(r.text, memo).astype(float)
+        length = float(np.sqrt(sum(x * x for x in v)))
+        near = sorted(((float(v @ w) / length if length else 0.0, k) for k, w in enumerate(known)), reverse=True)
+        if length and len(near) > quality.NEIGHBOURS and near[quality.NEIGHBOURS - 1][0] - near[quality.NEIGHBOURS][0] < 1e-6:
+            continue  # a tie at the last place may fall either way
+        votes = [(min(max(c, 0.0), 1.0) ** 2 * model.stands[k], model.labels[k]) for c, k in near[: quality.NEIGHBOURS]]
+        total = sum(w for w, _ in votes)
+        want = sum(w * label for w, label in votes) / total if total > 0 else model.prior
+        assert abs(got[r.doc_id] - want) < 1e-4
+        told += 1
+    assert told > 0.9 * len(got)
+
+
 def test_quality_edges(docs, clash, spark):
     good, bad = "Some plain words of prose, with a full stop. " * 5, "BUY!! NOW!! NOW!! ### $$$ " * 5
     rows = [(k, f"{good} {k}") for k in range(30)] + [(50 + k, f"{bad} {k}") for k in range(30)]
