@@ -7,6 +7,7 @@ newline ends a line), so results do not depend on the JVM's regex defaults.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -16,9 +17,121 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed_values as V
 
 
+def _close(pattern: str, start: int) -> int:
+    """Position of the bracket that closes the one at ``start``."""
+    depth, i, in_class = 0, start, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                return i
+        i += 1
+    raise ValueError(f"unbalanced pattern: {pattern}")
+
+
+def _alternatives(body: str) -> list[str]:
+    """``body`` cut at its own bars, not at those of groups and classes."""
+    out, last, i, in_class = [], 0, 0, False
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            i = _close(body, i)
+        elif c == "|":
+            out.append(body[last:i])
+            last = i + 1
+        i += 1
+    return [*out, body[last:]]
+
+
+def _plain_start(word: str) -> bool:
+    """Does the alternative open with one ASCII letter that no quantifier follows?"""
+    return word[:1].isascii() and word[:1].isalpha() and word[1:2] not in ("?", "*", "+", "{")
+
+
+def _by_letter(words: list[str]) -> str:
+    """Alternatives as a tree over their first letters.
+
+    Alternatives of different letters exclude each other and those of one letter keep their
+    order, so the group matches the same text as the flat list.
+    """
+    if len(words) == 1:
+        return words[0]
+    if not all(map(_plain_start, words)):
+        return f"(?:{'|'.join(words)})"
+    heads: dict[str, list[str]] = {}
+    for word in words:
+        heads.setdefault(word[0].lower(), []).append(word[1:])
+    arms = [letter + _by_letter(rest) for letter, rest in heads.items()]
+    return arms[0] if len(arms) == 1 else f"(?:{'|'.join(arms)})"
+
+
+#: shorter lists are tried as they stand
+_MIN_WORDS = 5
+
+
+def _is_word_list(body: str, words: list[str]) -> bool:
+    return len(words) >= _MIN_WORDS and all(map(_plain_start, words)) and not re.search(r"(?<!\\)\((?!\?)", body)
+
+
+@lru_cache(maxsize=None)
+def _factored(pattern: str) -> str:
+    """A case-insensitive pattern with its long word lists as trees; matches the same text.
+
+    Java tries the alternatives of a group one after the other at every word.  Where a word
+    boundary stands before the list, the list's first letters are asked for ahead of it, as the
+    Unicode boundary is the dearer test.
+    """
+    out, i, in_class, opened = "", 0, False, -1
+    if pattern.startswith(r"\b") and _plain_start(pattern[2:]) and len(_alternatives(pattern)) == 1:
+        out = f"(?={pattern[2]})"
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out += pattern[i:i + 2]
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif pattern.startswith("(?:", i):
+            end = _close(pattern, i)
+            words = _alternatives(pattern[i + 3:end])
+            if _is_word_list(pattern[i + 3:end], words):
+                letters = "".join(sorted({w[0].lower() for w in words}))
+                before = next((b for b in (r"\b", r"\b(") if out.endswith(b) and not out.endswith("\\" + b)), None)
+                if before == r"\b(" and len(_alternatives(pattern[opened + 1:_close(pattern, opened)])) > 1:
+                    before = None
+                if before and pattern[end + 1:end + 2] not in ("?", "*", "+", "{"):
+                    out = out[:-len(before)] + f"(?=[{letters}])" + before
+                out += "(?:" + _by_letter(words) + ")"
+                i = end + 1
+                continue
+        if c == "(" and not in_class:
+            opened = i
+        out += c
+        i += 1
+    return out
+
+
 def ci(pattern: str) -> str:
     """Case-insensitive form of a pattern."""
-    return "(?iUd)" + pattern
+    return "(?iUd)" + _factored(pattern)
 
 
 def cs(pattern: str) -> str:
@@ -65,16 +178,30 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, _LONG_RUN, " "))
 
 
+# V.LINE_BREAK, met by one class test a character
+_BREAK = r"[\n-\r\x1c-\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
+
+
 def split_lines(col: Column) -> Column:
-    return F.split(col, V.LINE_BREAK)
+    return F.split(col, _BREAK)
 
 
 def first_line(col: Column) -> Column:
-    return F.split_part(col, F.lit("\n"), F.lit(1))
+    return F.substring_index(col, "\n", 1)
 
 
 def normalize_ws(col: Column) -> Column:
-    return strip(F.regexp_replace(F.replace(col, F.lit("\u00a0"), F.lit(" ")), "[ \t]{2,}|\t", " "))
+    """Blanks, tabs and no-break spaces in a row become one blank; edges trimmed.
+
+    Few texts have any, and three byte searches cost less than one pattern.
+    """
+    return let(col, _normalized)
+
+
+def _normalized(x: Column) -> Column:
+    odd = F.contains(x, F.lit("  ")) | F.contains(x, F.lit("\t")) | F.contains(x, F.lit("\u00a0"))
+    spaced = F.regexp_replace(F.replace(x, F.lit("\u00a0"), F.lit(" ")), "[ \t]{2,}|\t", " ")
+    return strip(F.when(odd, spaced).otherwise(x))
 
 
 def normalize_multiline(col: Column) -> Column:
@@ -117,7 +244,9 @@ def _folding(form: str) -> tuple[str, str, dict[str, str], str]:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    return "".join(source), "".join(target), wide, "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    listed = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    # one comparison tells the characters of most texts from all ranges
+    return "".join(source), "".join(target), wide, f"\\x{{{runs[0][0]:x}}}-\\x{{10ffff}}&&[{listed}]"
 
 
 def _fold(col: Column, form: str) -> Column:
@@ -128,10 +257,10 @@ def _fold(col: Column, form: str) -> Column:
     """
     source, target, wide, ranges = _folding(form)
     mapping = F.from_json(F.lit(json.dumps(wide)), "map<string,string>")
-    parts = F.regexp_extract_all(col, F.lit(f"[{ranges}]|[^{ranges}]+"), F.lit(0))
+    parts = F.regexp_extract_all(col, F.lit(f"[{ranges}]|(?:(?![{ranges}])(?s:.))+"), F.lit(0))
     opened = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(mapping, x), x)), "")
     longer = F.when(col.rlike(f"[{ranges}]"), opened).otherwise(col)
-    folded = F.regexp_replace(F.translate(longer, source, target), r"\p{Mn}+", "")
+    folded = F.regexp_replace(F.translate(longer, source, target), r"[\u0300-\x{10ffff}&&\p{Mn}]+", "")
     return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
 
 
@@ -140,6 +269,15 @@ def match_key(col: Column) -> Column:
     return F.upper(normalize_ws(_fold(col, "NFD")))
 
 
+def key_cannot_open_with(col: Column, letters: str) -> Column:
+    """A cheap look at the first character: does it rule out a key that opens with one of the letters?
+
+    A printable ASCII character keeps its place in the key; any other may vanish from it.
+    """
+    code = F.ascii(col)
+    return code.between(33, 126) & ~code.isin(*[ord(c) for x in letters for c in (x.upper(), x.lower())])
+
+
 def token_array(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(_fold(col, "NFKD")), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -172,13 +310,19 @@ def standard_item(text: Column) -> Column:
     return F.regexp_extract(first_line(text), cs(V.STANDARD_ITEM), 1)
 
 
+def _unnumbered(text: Column) -> Column:
+    """Does the text open with something other than a digit?  Spares most texts the dearer tests."""
+    return ~text.rlike(cs(f"^{V.WS}*\\d"))
+
+
 def numbered_item(line: Column) -> Column:
-    return rstrip_chars(F.regexp_extract(normalize_ws(line), cs(V.NUMBERED_ITEM), 1), ".")
+    number = rstrip_chars(F.regexp_extract(normalize_ws(line), cs(V.NUMBERED_ITEM), 1), ".")
+    return F.when(_unnumbered(line), F.lit("")).otherwise(number)
 
 
 def numbered_content(text: Column) -> Column:
     rest = F.regexp_extract(normalize_ws(text), cs(V.NUMBERED_ITEM), 2)
-    return strip(F.regexp_replace(rest, "^[-–— ]+", ""))
+    return F.when(_unnumbered(text), F.lit("")).otherwise(strip(F.regexp_replace(rest, "^[-–— ]+", "")))
 
 
 def item_depth(item: Column) -> Column:
@@ -193,14 +337,14 @@ def plain_key(value: str) -> str:
     return " ".join(text.split()).upper()
 
 
-def keyword_tags(text: Column, lexicon=V.KEYWORDS) -> Column:
-    """Lexicon terms present in the text, lexicon order."""
+def keyword_tags(text: Column, lexicon=V.KEYWORDS, key: Column | None = None) -> Column:
+    """Lexicon terms present in the text, lexicon order.  ``key``: the text's key, where it is known."""
 
     def tags(key: Column) -> Column:
         hits = [F.when(F.contains(key, F.lit(plain_key(term))), F.lit(term)) for term in lexicon]
         return F.array_compact(F.array(*hits))
 
-    return let(match_key(text), tags)
+    return let(match_key(text) if key is None else key, tags)
 
 
 def caps_ratio(col: Column) -> Column:
@@ -235,11 +379,11 @@ def heading_markup(line: Column) -> Column:
 
 
 def is_named_section(line: Column) -> Column:
-    return strip(line).rlike(ci(V.NAMED_SECTION))
+    return ~_unnumbered(line) & strip(line).rlike(ci(V.NAMED_SECTION))
 
 
 def is_structural_title(line: Column) -> Column:
-    return let(
+    return ~_unnumbered(line) & let(
         normalize_ws(line), lambda x: x.rlike(ci(V.NAMED_SECTION)) | x.rlike(cs(V.NUMBERED_TITLE))
     )
 
