@@ -49,12 +49,23 @@ SPACE_GLYPH = "\uf020"
 
 def _tidy(line: Column) -> Column:
     """Private-use list glyphs become bullets, each bullet after a line break."""
-    bare = T.strip(F.translate(T.normalize_ws(line), SPACE_GLYPH, ""))
-    return T.strip(F.regexp_replace(bare, T.cs(f"{V.WS}*{BULLET_GLYPH}{V.WS}*"), "\n• "))
+    has = lambda x, glyph: F.contains(x, F.lit(glyph))
+    bare = T.let(
+        T.normalize_ws(line),
+        lambda x: F.when(has(x, SPACE_GLYPH), T.strip(F.translate(x, SPACE_GLYPH, ""))).otherwise(x),
+    )
+    broken = lambda x: T.strip(F.regexp_replace(x, T.cs(f"{V.WS}*{BULLET_GLYPH}{V.WS}*"), "\n• "))
+    return T.let(bare, lambda x: F.when(has(x, BULLET_GLYPH), broken(x)).otherwise(x))
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Tidy every line; a lone check glyph turns the next non-empty line into a bullet."""
+    tidy, text = _tidied(lines)
+    return tidy.withColumn("line", text).drop("tidy", "pending")
+
+
+def _tidied(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """The lines ``clean_lines`` keeps, and the text it gives them."""
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     tidy = lines.withColumn("tidy", _tidy(F.col("line")))
@@ -68,19 +79,22 @@ def clean_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("pending") & (F.col("tidy") != ""), F.concat(F.lit("• "), F.col("tidy")))
         .otherwise(F.col("tidy"))
     )
-    text = F.regexp_replace(text, r"(?<=\d)\.\.(?=\d)", ".")
-    text = T.strip(F.regexp_replace(text, T.ci(V.PAGE_MARK), ""))
-    return (
-        tidy.withColumn("pending", pending)
-        .where(~glyph)
-        .withColumn("line", text)
-        .drop("tidy", "pending")
-    )
+    text = T.let(text, lambda x: F.when(F.contains(x, F.lit("..")), F.regexp_replace(x, r"(?<=\d)\.\.(?=\d)", ".")).otherwise(x))
+
+    def unmarked(x: Column) -> Column:
+        bare = F.regexp_replace(x, T.ci("(?=[ip])" + V.PAGE_MARK), "")
+        # tidy lines have clean edges, but for a lone bullet
+        return T.let(bare, lambda y: F.when((y == x) & ~F.endswith(x, F.lit(" ")), x).otherwise(T.strip(y)))
+
+    text = T.let(text, unmarked)
+    return tidy.withColumn("pending", pending).where(~glyph), text
 
 
 def noise_flag(line: Column, patterns: list[str] | None = None) -> Column:
     prefixes = "|".join(V.APPROVAL_PREFIXES)
-    keyed = T.let(T.match_key(line), lambda key: (key == "INTERNA") | key.rlike(f"^(?:{prefixes})"))
+    named = T.let(T.match_key(line), lambda key: (key == "INTERNA") | key.rlike(f"^(?:{prefixes})"))
+    firsts = "".join(sorted({w[0] for w in ("INTERNA", *V.APPROVAL_PREFIXES)}))
+    keyed = F.when(T.key_cannot_open_with(line, firsts), F.lit(False)).otherwise(named)
     flag = line.isin("_", ".") | line.rlike(T.cs(V.RULE_LINE)) | line.rlike(T.ci(V.NOISE_LINE)) | keyed
     if patterns:
         flag = flag | line.rlike("|".join(f"(?:{p})" for p in patterns))
@@ -107,11 +121,11 @@ def collapse_blank_lines(lines: DataFrame) -> DataFrame:
 
 def clean_text_lines(documents: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Documents to cleaned lines (multi-bullet lines split into rows of their own)."""
-    lines = drop_noise_lines(clean_lines(split_lines(documents)), patterns)
-    keep = [c for c in lines.columns if c not in ("line", "line_no")]
-    split = lines.select(
-        *keep, F.col("line_no").alias("_n"), F.posexplode(F.split("line", "\n")).alias("_p", "line")
-    )
+    tidy, text = _tidied(split_lines(documents))
+    keep = [c for c in tidy.columns if c not in ("line", "line_no", "tidy", "pending")]
+    # a filter on the cleaned text would repeat its patterns in every test, so noise lines explode to nothing
+    kept = T.let(text, lambda x: F.when((x == "") | ~noise_flag(x, patterns), F.split(x, "\n")))
+    split = tidy.select(*keep, F.col("line_no").alias("_n"), F.posexplode(kept).alias("_p", "line"))
     order = Window.partitionBy("doc_id").orderBy("_n", "_p")
     numbered = split.withColumn("line_no", F.row_number().over(order)).drop("_n", "_p")
     return collapse_blank_lines(numbered)
