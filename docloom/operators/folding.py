@@ -23,13 +23,15 @@ def cut_document(
     step: Callable[[Column, Column], tuple[Column, dict[str, Column]]],
     out: str,
     key: str = "doc_id",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the group number (from 1) of each row.
 
     ``step(state, descriptor)`` returns whether the row opens a group and the new state.
-    The first row of a document always opens one.
+    The first row of a document always opens one.  ``keep`` names the columns to go on, all of
+    them by default; others only serve the descriptors.
     """
-    columns = [c for c in frame.columns if c != key]
+    columns = [c for c in (frame.columns if keep is None else keep) if c != key]
     entry = F.struct(
         F.col(order).alias("_o"),
         F.struct(*[c.alias(n) for n, c in descriptors.items()]).alias("_d"),

@@ -22,7 +22,9 @@ def annotate_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def detect_scope(text: Column) -> Column:
+def detect_scope(text: Column, line_key: Column | None = None) -> Column:
+    """Scope a text opens.  ``line_key``: the key of its first line, where it is known."""
+
     def by_key(line: Column, key: Column, letter: Column) -> Column:
         table = F.regexp_extract(key, T.cs(r"^TABELA\s*(\d+)\b"), 1)
         return (
@@ -36,13 +38,13 @@ def detect_scope(text: Column) -> Column:
 
     line = T.first_line(text)
     parts = F.struct(
-        T.match_key(line).alias("key"), F.regexp_extract(T.strip(line), T.ci(V.ANNEX_HEADING), 1).alias("letter")
+        (T.match_key(line) if line_key is None else line_key).alias("key"), F.regexp_extract(T.strip(line), T.ci(V.ANNEX_HEADING), 1).alias("letter")
     )
     return T.let(parts, lambda p: by_key(line, p["key"], p["letter"]))
 
 
-def is_procedure_marker(text: Column) -> Column:
-    return T.rstrip_chars(T.match_key(text), ".") == "PROCEDIMENTO"
+def is_procedure_marker(text: Column, key: Column | None = None) -> Column:
+    return T.rstrip_chars(T.match_key(text) if key is None else key, ".") == "PROCEDIMENTO"
 
 
 def segment_blocks(lines: DataFrame, max_chars: int = V.BLOCK_CHARS) -> DataFrame:
@@ -58,12 +60,15 @@ def segment_blocks(lines: DataFrame, max_chars: int = V.BLOCK_CHARS) -> DataFram
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     standalone = F.col("standalone") if "standalone" in lines.columns else F.lit(False)
     flowchart = F.col("flowchart") if "flowchart" in lines.columns else F.lit(False)
+    # of a key only the openings ANEXO, TABELA, QUADRO and PROCEDIMENTO count here
+    key = F.when(T.key_cannot_open_with(line, "ATQP"), F.lit("")).otherwise(T.match_key(line))
+    lines = lines.withColumn("_key", key)
     table_event = T.let(
-        detect_scope(line),
+        detect_scope(line, F.col("_key")),
         lambda s: F.when(s.isin("tabela_2", "tabela_5"), s).when(T.leaves_table(line), F.lit("")),
     )
     table_title = line.rlike(T.ci(V.TABLE_TITLE))
-    marker = is_procedure_marker(line)
+    marker = is_procedure_marker(line, F.col("_key"))
     shaped = lines.select(
         *carried, "line_no", "line",
         (T.strip(line) == "").alias("_blank"),
@@ -118,15 +123,27 @@ def _cut_long(lines: Column, max_chars: int) -> Column:
     return F.when(total < max_chars, F.array(lines)).otherwise(pieces)
 
 
+def _edged(blocks: DataFrame) -> DataFrame:
+    """Add the first and last line and what most rules ask of them, each worked out once a block."""
+    lines = F.col("lines")
+    ends = blocks.select(
+        "*", T.normalize_ws(F.try_element_at(lines, F.lit(1))).alias("_first"),
+        T.normalize_ws(F.try_element_at(lines, F.lit(-1))).alias("_last"),
+    )
+    first = F.col("_first")
+    return ends.select(
+        "*", first.rlike(T.cs(V.LIST_ITEM)).alias("_listed"), first.rlike(T.cs(V.SECTION)).alias("_section"),
+        T.is_structural_title(first).alias("_title"),
+        # the longest ending a rule asks for has five characters
+        F.right("_last", F.lit(8)).alias("_end"), F.lower(F.right("_last", F.lit(8))).alias("_low"),
+    )
+
+
 def _edges() -> dict[str, Column]:
     """What the merge rules need to know about a block, from its first and last line."""
-    lines = F.col("lines")
-    raw_first = F.try_element_at(lines, F.lit(1))
-    first, last = T.normalize_ws(raw_first), T.normalize_ws(F.try_element_at(lines, F.lit(-1)))
-    listed = first.rlike(T.cs(V.LIST_ITEM))
-    section, title = first.rlike(T.cs(V.SECTION)), T.is_structural_title(first)
+    lines, first, last, end, low = (F.col(c) for c in ("lines", "_first", "_last", "_end", "_low"))
+    listed, section, title = F.col("_listed"), F.col("_section"), F.col("_title")
     visual = listed & ~section & ~title
-    low = F.lower(last)
     return {
         "size": F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x) + 1),
         "dotted": visual & first.rlike(r"\.{3,}"),
@@ -148,10 +165,10 @@ def _edges() -> dict[str, Column]:
         "l_prep": low.rlike(r" (?:na|no|à|ao|pela|pelo)$"),
         "l_and": low.rlike(r" (?:e|ou)$"),
         "l_action": last.rlike(T.ci(V.IMPERATIVE_CUE)),
-        "l_hyphen": last.rlike(r"-$"),
-        "l_pause": last.rlike(r"[,;]$"),
-        "l_open_item": ~last.rlike(r"[.!?;]$"),
-        "l_open": last.rlike(r"[,;:]$") | low.rlike(r" (?:e|ou)$") | ~last.rlike(r"[.!?]$"),
+        "l_hyphen": end.rlike(r"-$"),
+        "l_pause": end.rlike(r"[,;]$"),
+        "l_open_item": ~end.rlike(r"[.!?;]$"),
+        "l_open": end.rlike(r"[,;:]$") | low.rlike(r" (?:e|ou)$") | ~end.rlike(r"[.!?]$"),
     }
 
 
@@ -215,7 +232,7 @@ def merge_fragments(blocks: DataFrame, limit: int = V.LIST_CHARS) -> DataFrame:
         }
         return ~joins, state
 
-    grouped = cut_document(blocks, "block_no", descriptors, initial, step, "_group")
+    grouped = cut_document(_edged(blocks), "block_no", descriptors, initial, step, "_group", keep=blocks.columns)
     carried = [c for c in blocks.columns if c not in ("doc_id", "block_no", "lines")]
     return grouped.groupBy("doc_id", "_group").agg(
         *[F.first(c).alias(c) for c in carried],
