@@ -11,8 +11,8 @@ from docloom.operators.lines import by_document
 
 # ordered (label, pattern): the first match in the head of the text wins
 TYPE_RULES = (
-    (V.DOC_ANNEX_A, r"(?iUd)\bANEXO\s+A\b"),
-    (V.DOC_ANNEX_B, r"(?iUd)\bANEXO\s+B\b"),
+    (V.DOC_ANNEX_A, T.ci(r"\bANEXO\s+A\b")),
+    (V.DOC_ANNEX_B, T.ci(r"\bANEXO\s+B\b")),
     (V.DOC_PE, r"(?imUd)" + V.PE_SECTION),
 )
 
@@ -62,14 +62,14 @@ def classify_sectioned(lines: DataFrame) -> DataFrame:
     mode and disappear; the rest takes the mode, else information."""
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col("line").rlike(T.ci(V.PE_SECTION))
-    key = T.match_key(F.col("line"))
+    heading, key = F.col("_heading"), F.col("_key")
     how, why = F.contains(key, F.lit("COMO FAZER")), F.contains(key, F.lit("PORQUE FAZER"))
     event = (
         F.when(heading, F.lit(V.L_INFO)).when(how, F.lit(V.L_EXEC)).when(why, F.lit(V.L_INFO))
     )
-    marked = lines.select(
-        "*", heading.alias("_heading"), (~heading & (how | why)).alias("_marker"),
+    told = lines.select("*", F.col("line").rlike(T.ci(V.PE_SECTION)).alias("_heading"), T.match_key(F.col("line")).alias("_key"))
+    marked = told.select(
+        "*", (~heading & (how | why)).alias("_marker"),
         event.alias("_event"), F.when(heading, F.col("line")).alias("_section"),
     )
     carried = marked.select(
