@@ -763,6 +763,12 @@ def to_infinitive(spark, sf):
     return X.to_infinitive(source.withColumn("src", F.concat("lead", "bare")), "src", "action").select("doc_id", "line_no", "action")
 
 
+def _plain_lines(spark, sf):
+    """Lines as ``x``, letters and single blanks only; a filter would work every line out twice, so empty ones explode to nothing."""
+    x = F.trim(F.regexp_replace(F.regexp_replace("line", "[^a-zA-Z ]+", ""), " {2,}", " "))
+    return lines(spark, sf).select("doc_id", "line_no", F.explode(T.let(x, lambda v: F.when(v != "", F.array(v)))).alias("x"))
+
+
 _PLAIN_SQL = "regexp_replace(regexp_replace(line, '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g')"
 
 
@@ -773,8 +779,7 @@ _PLAIN_SQL = "regexp_replace(regexp_replace(line, '[^a-zA-Z ]', '', 'g'), ' +',
     UNION ALL SELECT doc_id, line_no, 1, 'Quando ' || x || ' e fechar' FROM q""",
 )
 def split_conditional_bullets(spark, sf):
-    x = F.trim(F.regexp_replace(F.regexp_replace("line", "[^a-zA-Z ]", ""), " +", " "))
-    rows = lines(spark, sf).select("doc_id", "line_no", x.alias("x")).where("x <> ''")
+    rows = _plain_lines(spark, sf)
     text = F.concat(F.lit("• Caso "), F.col("x"), F.lit("; • Quando "), F.col("x"), F.lit(" e fechar;"))
     return rows.select("doc_id", "line_no", F.posexplode(X.split_conditional_bullets(text)).alias("pos", "part"))
 
@@ -788,8 +793,7 @@ def split_conditional_bullets(spark, sf):
     UNION ALL SELECT doc_id, line_no, 3, 'c', 'c) ' || x FROM q""",
 )
 def split_list_items(spark, sf):
-    x = F.trim(F.regexp_replace(F.regexp_replace("line", "[^a-zA-Z ]", ""), " +", " "))
-    rows = lines(spark, sf).select("doc_id", "line_no", x.alias("x")).where("x <> ''")
+    rows = _plain_lines(spark, sf)
     items = F.array(
         F.concat(F.lit("Lista "), F.col("x"), F.lit(":")), F.concat(F.lit("- "), F.col("x")),
         F.concat(F.lit("• b. "), F.col("x"), F.lit("; c) "), F.col("x")),
@@ -828,8 +832,7 @@ def key_value_pairs(spark, sf):
     UNION ALL SELECT doc_id, line_no, 3, 'Fechar ' || x || '.' FROM q""",
 )
 def split_actions(spark, sf):
-    x = F.trim(F.regexp_replace(F.regexp_replace("line", "[^a-zA-Z ]", ""), " +", " "))
-    rows = lines(spark, sf).select("doc_id", F.col("line_no").alias("block_no"), x.alias("x")).where("x <> ''")
+    rows = _plain_lines(spark, sf).withColumnRenamed("line_no", "block_no")
     text = F.concat(
         F.lit("Caso haja "), F.col("x"), F.lit(", recomenda-se coletar "), F.col("x"), F.lit(". Abra "), F.col("x"),
         F.lit(" e feche "), F.col("x"), F.lit(". Não deverá abrir "), F.col("x"), F.lit("."),
