@@ -79,9 +79,10 @@ def dedupe_keep_first(spark, sf):
 
 @query("assign_row_ids", f"WITH {_ROWS_SQL} SELECT doc_id, block_no, row_no, CAST(row_id AS BIGINT) AS row_id FROM numbered")
 def assign_row_ids(spark, sf):
-    return O.assign_row_ids(O.dedupe_keep_first(O.normalize_rows(raw_rows(spark, sf)))).select(
-        "doc_id", "block_no", "row_no", "row_id"
-    )
+    unique = O.dedupe_keep_first(O.normalize_rows(raw_rows(spark, sf)))
+    # ids need no texts, so none are written
+    narrow = unique.select("doc_id", "doc_order", *O.POSITION, "task_type")
+    return O.assign_row_ids(narrow).select("doc_id", "block_no", "row_no", "row_id")
 
 
 _SUBMITTED_SQL = """
