@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import hierarchy as H
 from docloom.operators import output as O
 
 N = 400
@@ -39,6 +40,28 @@ def test_row_ids_work_out_their_rows_once(spark, counted):
     assert seen.value == N
 
 
+def test_outline_works_out_its_rows_once(spark, counted):
+    seen, task_type = counted
+    rows = _rows(spark, task_type).select(
+        "*", F.lit("instrucao_operacional").alias("b_category"), F.lit("documento_principal").alias("b_scope"),
+        F.concat((F.col("block_no") % 4 + 1).cast("string"), F.lit(".1")).alias("b_section"), F.lit("").alias("b_item"),
+        F.lit(None).cast("struct<item:string,hta:string,op_group:string>").alias("b_context"),
+        (F.col("doc_id") % 2 == 0).alias("b_standalone"), F.lit(0).alias("b_stage"),
+    )
+    got = H.number_documents(rows, 1).where("task_type = 'Execução'").collect()
+    assert seen.value == N
+    for standalone in (True, False):
+        for doc in {r.doc_id for r in got if (r.doc_id % 2 == 0) == standalone}:
+            mine = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.block_no)
+            ranks, counts, want = {}, {}, []
+            for r in mine:
+                group = r.block_no % 4
+                rank = ranks.setdefault(group, len(ranks) + 1)
+                counts[group] = counts.get(group, 0) + 1
+                want.append(f"1.{rank}.{counts[group]}." if standalone else f"{rank}.{counts[group]}.")
+            assert [r.hta for r in mine] == want
+
+
 def test_cells_are_taken_apart_only_where_they_must(spark):
     texts = {
         "tidy cell": "tidy cell", " edge": "edge", "edge ": "edge", "a  b": "a b", "a\tb": "a b", "a\n\n b ": "a\nb", "a\r\nb": "a\nb",
