@@ -260,19 +260,38 @@ def _folding(form: str) -> tuple[str, str, dict[str, str], str]:
     return "".join(source), "".join(target), wide, f"\\x{{{runs[0][0]:x}}}-\\x{{10ffff}}&&[{listed}]"
 
 
+#: first code point past the Latin blocks; combining marks come after it
+_LATIN_END = 0x250
+
+
+@lru_cache(maxsize=None)
+def _latin_folding(form: str) -> tuple[tuple[str, str], str]:
+    """The table of Latin letters, and a pattern for characters it does not serve."""
+    source, target, wide, _ = _folding(form)
+    pairs = [(a, b) for a, b in zip(source, target) if ord(a) < _LATIN_END]
+    longer = "".join(f"\\x{{{ord(c):x}}}" for c in wide if ord(c) < _LATIN_END)
+    return ("".join(a for a, _ in pairs), "".join(b for _, b in pairs)), f"[\\x{{{_LATIN_END:x}}}-\\x{{10ffff}}{longer}]"
+
+
 def _fold(col: Column, form: str) -> Column:
     """``col`` decomposed, without combining marks.
 
-    Plain ASCII is passed on; only texts with a character in the ranges of longer results are
-    taken apart for them.
+    Plain ASCII is passed on, and texts of Latin letters need the short table alone: Spark compares
+    the tables of ``translate`` in every row.  Only texts with a character in the ranges of longer
+    results are taken apart for them.
     """
     source, target, wide, ranges = _folding(form)
+    latin, beyond = _latin_folding(form)
     mapping = F.from_json(F.lit(json.dumps(wide)), "map<string,string>")
     parts = F.regexp_extract_all(col, F.lit(f"[{ranges}]|(?:(?![{ranges}])(?s:.))+"), F.lit(0))
     opened = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(mapping, x), x)), "")
     longer = F.when(col.rlike(f"[{ranges}]"), opened).otherwise(col)
     folded = F.regexp_replace(F.translate(longer, source, target), r"[\u0300-\x{10ffff}&&\p{Mn}]+", "")
-    return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
+    return (
+        F.when(F.octet_length(col) == F.length(col), col)
+        .when(~col.rlike(beyond), F.translate(col, *latin))
+        .otherwise(folded)
+    )
 
 
 def match_key(col: Column) -> Column:

@@ -44,7 +44,8 @@ def detect_scope(text: Column, line_key: Column | None = None) -> Column:
 
 
 def is_procedure_marker(text: Column, key: Column | None = None) -> Column:
-    return T.rstrip_chars(T.match_key(text) if key is None else key, ".") == "PROCEDIMENTO"
+    key = T.match_key(text) if key is None else key
+    return F.startswith(key, F.lit("PROCEDIMENTO")) & (T.rstrip_chars(key, ".") == "PROCEDIMENTO")
 
 
 def segment_blocks(lines: DataFrame, max_chars: int = V.BLOCK_CHARS) -> DataFrame:

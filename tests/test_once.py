@@ -1,4 +1,6 @@
-"""Work that must be done once a row, however many branches read it."""
+"""Work that must be done once a row, however many branches read it; keys of Latin and other letters."""
+
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,25 @@ def test_outline_works_out_its_rows_once(spark, counted):
             assert [r.hta for r in mine] == want
 
 
+def test_keys_of_latin_and_other_letters(spark):
+    texts = [
+        "", "plain", "Ação crítica", "ÀÖØÞßŸ ǅ ɏ", "áê", "Ω ά", "ﬁm ½ ŉ Ĳ", "日本 가", "𝐀é", "̈́", "ǖɐ", None,
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in frame.select("i", T.match_key(F.col("t")).alias("key"), T.token_key(F.col("t")).alias("tokens")).collect()}
+
+    def bare(form, text):
+        return "".join(c for c in unicodedata.normalize(form, text) if unicodedata.category(c) != "Mn")
+
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i].key is None
+        elif "가" not in text:  # Hangul stays whole
+            assert got[i].key == bare("NFD", text).strip().upper(), text
+            words = "".join(c if c.isascii() and c.isalnum() else " " for c in bare("NFKD", text).lower()).split()
+            assert got[i].tokens == " ".join(words), text
+
+
 def test_cells_are_taken_apart_only_where_they_must(spark):
     texts = {
         "tidy cell": "tidy cell", " edge": "edge", "edge ": "edge", "a  b": "a b", "a\tb": "a b", "a\n\n b ": "a\nb", "a\r\nb": "a\nb",
