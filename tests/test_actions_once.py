@@ -65,4 +65,4 @@ def test_tokens_and_blanks(spark):
 def test_ends_are_trimmed_as_given(spark):
     texts = {"; a;": "a", "·a.": "a", "a": "a", "": "", " ;": "", None: None, "a;b": "a;b"}
     frame = spark.createDataFrame([(t, w) for t, w in texts.items()], "t string, w string")
-    assert all(r.k == r.w for r in frame.select("w", T.strip_chars(F.col("t"), " ;,.·").alias("k")).collect())
+    assert all(r.k == r.w for r in frame.select("w", T.strip_ends(F.col("t"), " ;,.·").alias("k")).collect())
